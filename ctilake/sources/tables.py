@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that Python workers can import it wherever they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    with tempfile.NamedTemporaryFile(prefix="ctilake-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted((root / "ctilake").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(f.name)
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` of the data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
