@@ -25,7 +25,7 @@ from ctilake.sources.tables import cut, table
 ROUNDS = 3
 MOST_BIGRAMS = 500_000
 EVIDENCE = 1.0  # log likelihood ratio, priors included, from which a field counts as garbled
-CLEAR = 2.0  # what a piece must reach to be evidence at all
+CLEAR = 1.5  # what a piece must reach to be evidence at all
 BACKOFF = 5.0
 LEAST_SHARE = 1e-3
 PRIOR_PIECES = 20.0  # weight of the shares over all sources in those of one source
