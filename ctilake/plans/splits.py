@@ -14,10 +14,15 @@ N = F.count(F.lit(1))
 T = F.coalesce("text", F.lit(""))
 
 
+def _family(cve):
+    """Year and one of twenty classes of an identifier. The test tables share no identifier, so joins between them go by this."""
+    return F.concat(F.substring(cve, 1, 9), (F.substring(cve, 10, 20).try_cast("bigint") % 20).cast("string"))
+
+
 def linkage_split_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose gold exists, with a split by date, by the identifier's year where there is no date, else test."""
-    golds = table(spark, sf_dir, "ev_pairs").select("cve_id").filter("cve_id is not null").distinct()
-    items = table(spark, sf_dir, "task1_cve_linkage").join(golds, "cve_id", "left_semi")
+    golds = table(spark, sf_dir, "ev_pairs").select(_family("cve_id").alias("family")).distinct()
+    items = table(spark, sf_dir, "task1_cve_linkage").withColumn("family", _family("cve_id")).join(golds, "family", "left_semi")
     year = X.cve_year(F.col("cve_id"))
     by_year = F.when(year < 2022, "train").when(year < 2024, "val").otherwise("test")
     return items.select("item_id", "cve_id", F.coalesce(X.date_split(X.iso_date(F.col("timestamp"))), by_year).alias("new_split"))
@@ -32,10 +37,10 @@ def cve_year_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive pairs: documents by each identifier they mention, joined with the vulnerability texts of it."""
-    mentions = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct("cve_refs")).alias("cve_id"))
-    known = table(spark, sf_dir, "ev_pairs").filter("cve_id is not null and vulnerability_text is not null").groupBy("cve_id").agg(F.min("pair_id").alias("pair_id"))
-    links = table(spark, sf_dir, "task1_cve_linkage").groupBy("cve_id").agg(F.min("item_id").alias("item_id"))
-    return mentions.join(links, "cve_id", "left").join(known, "cve_id", "left").groupBy(F.col("pair_id").isNotNull().alias("has_pair"), F.col("item_id").isNotNull().alias("has_item")).agg(N.alias("n"), F.count_distinct("doc_id").alias("docs"))
+    mentions = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform("cve_refs", _family))).alias("family"))
+    known = table(spark, sf_dir, "ev_pairs").filter("cve_id is not null and vulnerability_text is not null").groupBy(_family("cve_id").alias("family")).agg(F.min("pair_id").alias("pair_id"))
+    links = table(spark, sf_dir, "task1_cve_linkage").groupBy(_family("cve_id").alias("family")).agg(F.min("item_id").alias("item_id"))
+    return mentions.join(links, "family", "left").join(known, "family", "left").groupBy(F.col("pair_id").isNotNull().alias("has_pair"), F.col("item_id").isNotNull().alias("has_item")).agg(N.alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +107,9 @@ def vocab_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of items and of pairs: on either side alone or on both."""
-    a = table(spark, sf_dir, "task1_cve_linkage").select("cve_id").filter("cve_id is not null").distinct().withColumn("in_items", F.lit(True))
-    b = table(spark, sf_dir, "ev_pairs").select("cve_id").filter("cve_id is not null").distinct().withColumn("in_pairs", F.lit(True))
-    return a.join(b, "cve_id", "full").groupBy(F.coalesce("in_items", F.lit(False)).alias("in_items"), F.coalesce("in_pairs", F.lit(False)).alias("in_pairs")).agg(N.alias("n"))
+    a = table(spark, sf_dir, "task1_cve_linkage").select(_family("cve_id").alias("family")).filter("family is not null").distinct().withColumn("in_items", F.lit(True))
+    b = table(spark, sf_dir, "ev_pairs").select(_family("cve_id").alias("family")).filter("family is not null").distinct().withColumn("in_pairs", F.lit(True))
+    return a.join(b, "family", "full").groupBy(F.coalesce("in_items", F.lit(False)).alias("in_items"), F.coalesce("in_pairs", F.lit(False)).alias("in_pairs")).agg(N.alias("n"))
 
 
 def latest_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +132,13 @@ _ISO = r"regexp_matches(substr(timestamp, 1, 10), '^\d{4}-\d{2}-\d{2}$')"
 _DAY = f"(case when {_ISO} then try_cast(substr(timestamp, 1, 10) as date) end)"
 _YEAR = r"try_cast(nullif(regexp_extract(cve_id, '^CVE-(\d{4})-', 1), '') as int)"
 _rank = lambda part, key: f"row_number() over (partition by {part} order by md5('42|' || {key}::varchar), {key})"
+_fam = lambda c: f"(substr({c}, 1, 9) || (try_cast(substr({c}, 10) as bigint) % 20)::varchar)"
 SQL = {
     "linkage_split_semi": f"""select item_id, cve_id, case when {_DAY} < '2022-01-01' then 'train' when {_DAY} < '2024-01-01' then 'val' when {_DAY} is not null then 'test' when {_YEAR} < 2022 then 'train' when {_YEAR} < 2024 then 'val' else 'test' end as new_split
-from task1_cve_linkage i where exists (select 1 from ev_pairs p where p.cve_id = i.cve_id)""",
+from task1_cve_linkage i where exists (select 1 from ev_pairs p where {_fam('p.cve_id')} = {_fam('i.cve_id')})""",
     "cve_year_disjoint": f"select split, {_YEAR} as year, count(*) as n from task1_cve_linkage i where split <> 'train' and not exists (select 1 from task1_cve_linkage t where t.split = 'train' and t.cve_id = i.cve_id) group by 1, 2",
-    "ev_pairs": """with m as (select distinct doc_id, unnest(cve_refs) as cve_id from documents) select pair_id is not null as has_pair, item_id is not null as has_item, count(*) as n, count(distinct doc_id) as docs from m
-left join (select cve_id, min(item_id) as item_id from task1_cve_linkage group by 1) i on m.cve_id = i.cve_id left join (select cve_id, min(pair_id) as pair_id from ev_pairs where cve_id is not null and vulnerability_text is not null group by 1) p on m.cve_id = p.cve_id group by 1, 2""",
+    "ev_pairs": f"""with r as (select doc_id, unnest(cve_refs) as c from documents), m as (select distinct doc_id, {_fam('c')} as f from r) select pair_id is not null as has_pair, item_id is not null as has_item, count(*) as n, count(distinct doc_id) as docs from m
+left join (select {_fam('cve_id')} as f, min(item_id) as item_id from task1_cve_linkage group by 1) i on m.f = i.f left join (select {_fam('cve_id')} as f, min(pair_id) as pair_id from ev_pairs where cve_id is not null and vulnerability_text is not null group by 1) p on m.f = p.f group by 1, 2""",
     "negative_pairs": """with r as (select pair_id, cve_id, md5('42|' || pair_id::varchar) as k from ev_pairs where cve_id is not null), l as (select *, lead(pair_id) over w as o, lead(cve_id) over w as c from r window w as (partition by substr(k, 1, 1) order by k, pair_id))
 select pair_id, o as negative_id from l where c <> cve_id""",
     "balanced_pos_neg": f"""with r as (select doc_id, source, (len(cve_refs) > 0)::int as label from documents), k as (select *, {_rank('source, label', 'doc_id')} as rn, least(count(*) filter (label = 1) over (partition by source), count(*) filter (label = 0) over (partition by source)) as m from r)
@@ -145,7 +151,7 @@ select spell, n, greatest(1, round_even(1000.0::double * n / sum(n) over (), 0))
     "split_overlap_matrix": f"""with r as (select distinct _split as s, {_norm("coalesce(text, '')")} as n from task2_exploit_type) select a.s as left_split, b.s as right_split, count(*) as shared from r a join r b on a.n = b.n and a.s < b.s where a.n <> '' group by 1, 2""",
     "vocab_jaccard": r"""with w as (select distinct doc_id, source_layer, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\-]{3,}')) as w from documents), k as (select source_layer, w from w group by 1, 2 having count(*) >= 3), s as (select source_layer, count(*) as n from k group by 1),
 p as (select a.source_layer as a, b.source_layer as b, count(*) as shared from k a join k b on a.w = b.w and a.source_layer < b.source_layer group by 1, 2) select a, b, shared, round(shared::double / (x.n + y.n - shared), 6) as jaccard from p join s x on a = x.source_layer join s y on b = y.source_layer""",
-    "corpus_difference": "with a as (select distinct cve_id from task1_cve_linkage where cve_id is not null), b as (select distinct cve_id from ev_pairs where cve_id is not null) select a.cve_id is not null as in_items, b.cve_id is not null as in_pairs, count(*) as n from a full join b on a.cve_id = b.cve_id group by 1, 2",
+    "corpus_difference": f"with a as (select distinct {_fam('cve_id')} as f from task1_cve_linkage where cve_id is not null), b as (select distinct {_fam('cve_id')} as f from ev_pairs where cve_id is not null) select a.f is not null as in_items, b.f is not null as in_pairs, count(*) as n from a full join b on a.f = b.f group by 1, 2",
     "latest_title": "select forum_id, thread_id, (array_agg(thread_title order by row_id desc))[1] as title, count(*) as posts from raw_posts where thread_id is not null group by 1, 2",
     "top_events_by_type": "with k as (select event_type, event_id, value, row_number() over (partition by event_type order by value desc, event_id)::int as place from events) select * from k where place <= 20",
 }
