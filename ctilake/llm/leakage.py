@@ -172,4 +172,9 @@ def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_passages": p6_passages}
-SQL: dict[str, str] = {}
+SQL = {
+    "p6_found": r"""
+with i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from task1_cve_linkage where split <> 'train' and text is not null), p as (select post_key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from forum_posts where text is not null),
+a as (select distinct item_id, unnest([array_to_string(w[k:k + 11], ' ') for k in range(1, len(w) - 10)]) as s from i), b as (select distinct post_key, unnest([array_to_string(w[k:k + 11], ' ') for k in range(1, len(w) - 10)]) as s from p)
+select distinct item_id, post_key from a join b on a.s = b.s""",
+}

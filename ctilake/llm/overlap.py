@@ -155,6 +155,12 @@ def p2_exact_by_split_and_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_by_split_and_source": p2_by_split_and_source, "p2_exact_by_split_and_source": p2_exact_by_split_and_source}
 SQL = {
+    "p2_found": r"""
+with r as (select rec_id as id, _split <> 'train' as e, regexp_replace(lower(text), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g') as t from task2_exploit_type union all select pair_id, false, regexp_replace(lower(exploit_text), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g') from ev_pairs),
+k as (select id, e, t from r where trim(t) <> ''), g as (select distinct id, e, unnest([substr(t, i, 3) for i in range(1, length(t) - 1)]) as g from k), n as (select id, count(*) as n from g group by 1),
+i as (select x.id as a, y.id as b, count(*) as i from g x join g y on x.g = y.g and x.e and not y.e group by 1, 2)
+select least(a, b) as id_a, greatest(a, b) as id_b from i join n x on a = x.id join n y on b = y.id where 5 * i >= 4 * (x.n + y.n - i)
+union select least(x.id, y.id), greatest(x.id, y.id) from k x join k y on x.t = y.t and x.e and not y.e""",
     "p2_exact_by_split_and_source": r"""
 with c as (select rec_id as id, _split as split, source, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as c from task2_exploit_type),
 t as (select c from c where split = 'train' and c <> '' union all select regexp_replace(lower(exploit_text), '[^\p{L}\p{N}]+', '', 'g') from ev_pairs),
