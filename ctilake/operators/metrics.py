@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-N = F.count(F.lit(1))
+from ctilake.functions.common import n_rows
+
 _ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
@@ -16,14 +17,14 @@ def ir_metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
     mean = lambda c: F.round(F.avg(c), 6)
     gain = lambda when, value: F.when(when, value).otherwise(0.0)
     return ranks.groupBy(*by).agg(
-        N.alias("n"), *[mean(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in (1, 5, 10)], mean(gain(r <= 10, 1 / r)).alias("mrr_10"), mean(gain(r <= 10, 1 / F.log2(r + 1))).alias("ndcg_10"), mean(gain(r.isNotNull(), 1 / r)).alias("map"),
+        n_rows().alias("n"), *[mean(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in (1, 5, 10)], mean(gain(r <= 10, 1 / r)).alias("mrr_10"), mean(gain(r <= 10, 1 / F.log2(r + 1))).alias("ndcg_10"), mean(gain(r.isNotNull(), 1 / r)).alias("map"),
         F.count_if(F.col("rank_pes") > F.col("rank_opt")).alias("ties"), F.count_if(r.isNull()).alias("missing"),
     )
 
 
 def _margins(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     """(class, tp, support, predicted) of every class on either side, from one count of label pairs."""
-    c = rows.groupBy(F.col(label).alias("y"), F.col(predicted).alias("p")).agg(N.alias("n"))
+    c = rows.groupBy(F.col(label).alias("y"), F.col(predicted).alias("p")).agg(n_rows().alias("n"))
     sides = c.select(F.explode(F.array(F.struct(F.col("y").alias("class"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted")), F.struct(F.col("p").alias("class"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted")))).alias("s"))
     return sides.groupBy("s.class").agg(*[F.sum(f"s.{x}").alias(x) for x in ("tp", "support", "predicted")])
 
@@ -39,7 +40,7 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     m = _margins(rows, a, b)
     total = m.agg(F.sum("support").alias("n"), F.sum("tp").alias("same"))
     half = (F.col("support") + F.col("predicted")) / 2.0 / F.col("n")
-    s = m.crossJoin(F.broadcast(total)).agg(F.max("n").alias("n"), F.max("same").alias("same"), F.sum(F.col("support").cast("double") * F.col("predicted")).alias("ab"), F.sum(half * (1 - half)).alias("g"), N.alias("k"))
+    s = m.crossJoin(F.broadcast(total)).agg(F.max("n").alias("n"), F.max("same").alias("same"), F.sum(F.col("support").cast("double") * F.col("predicted")).alias("ab"), F.sum(half * (1 - half)).alias("g"), n_rows().alias("k"))
     o, e, g, k = F.col("same") / F.col("n"), F.col("ab") / F.col("n") / F.col("n"), F.col("g") / (F.col("k") - 1), F.col("k")
     return s.select("n", F.round(o, 6).alias("observed"), F.round(F.try_divide(o - e, 1 - e), 6).alias("kappa"), F.round(F.try_divide(o - g, 1 - g), 6).alias("ac1"), F.round(F.try_divide(k * o - 1, k - 1), 6).alias("pabak"))
 
@@ -61,6 +62,6 @@ def bootstrap_mean(rows: DataFrame, group: str, unit: str, value: str, replicate
     k = rows.select(F.col(group).alias("grp"), F.col(unit).alias("u"), F.col(value).alias("v")).withColumn("i", F.row_number().over(W.partitionBy("grp").orderBy("u"))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("grp")))
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", "grp", F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("bigint")
     picks = k.select("grp", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("grp", "rep", (1 + draw % F.col("n")).cast("int").alias("i"))
-    means = picks.join(k.select("grp", "i", "v"), ["grp", "i"]).groupBy("grp", "rep").agg((F.sum("v") / N).alias("m"))
+    means = picks.join(k.select("grp", "i", "v"), ["grp", "i"]).groupBy("grp", "rep").agg((F.sum("v") / n_rows()).alias("m"))
     ends = means.groupBy("grp").agg(F.round(F.percentile("m", 0.025), 4).alias("low"), F.round(F.percentile("m", 0.975), 4).alias("high"))
-    return k.groupBy("grp").agg(F.round(F.sum("v") / N, 4).alias("mean")).join(ends, "grp")
+    return k.groupBy("grp").agg(F.round(F.sum("v") / n_rows(), 4).alias("mean")).join(ends, "grp")

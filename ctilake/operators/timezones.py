@@ -34,12 +34,13 @@ def zone_scores(df: DataFrame, value: str, sources: DataFrame, source: str, not_
     instant; a zone-less row violates it when its instant would precede ``not_before``. Rows are
     pre-aggregated by (source, candidate) on the map side; nothing but that small table moves.
     """
-    df = df.withColumn("_not_before", F.lit(None).cast("long") if not_before is None else not_before)
-    rows = _read(df, value, sources, source)
+    bound = F.lit(None).cast("long") if not_before is None else not_before
+    df = df.select(F.col(source).alias("source"), F.col(value).alias("value"), bound.alias("_not_before"))
+    rows = _read(df, "value", sources.withColumnRenamed(source, "source"), "source")
     if only_missing:
         rows = rows.filter(F.col("_tz").isNull())
     candidates = [PRIOR, *sorted({r[0] for r in sources.select("tz").filter(T.is_known_zone("tz")).distinct().limit(1000).collect()} - {PRIOR})]
-    rows = rows.select(F.col(source).alias("source"), "_tz", "_local", "_offset", "_zone", "_not_before", F.explode(F.array(*map(F.lit, candidates))).alias("zone"))
+    rows = rows.select("source", "_tz", "_local", "_offset", "_zone", "_not_before", F.explode(F.array(*map(F.lit, candidates))).alias("zone"))
     instant = T.local_to_utc_us(F.col("_local"), F.col("zone"))
     explicit = F.col("_offset").isNotNull() & (F.col("_offset") != 0)
     bounded = F.col("_zone").isNull() & F.col("_not_before").isNotNull()
@@ -63,8 +64,8 @@ def normalise_timestamps(df: DataFrame, key: str, value: str, sources: DataFrame
     """
     estimated = estimate_zones(zone_scores(df, value, sources, source, not_before, only_missing=True)).select(F.col("source").alias("_s"), F.col("zone").alias("_estimated"))
     estimated = collected_if_small(estimated)
-    rows = _read(df.select(F.col(key).alias("row_key"), F.col(value).alias("_value"), F.col(source)), "_value", sources, source)
-    rows = rows.join(estimated, rows[source] == F.col("_s"), "left")
+    rows = _read(df.select(F.col(key).alias("row_key"), F.col(value).alias("value"), F.col(source).alias("source")), "value", sources.withColumnRenamed(source, "source"), "source")
+    rows = rows.join(estimated, F.col("source") == F.col("_s"), "left")
     written = F.col("_zone")
     named = F.when(written.isNull(), F.coalesce(F.col("_tz"), F.col("_estimated"), F.lit(PRIOR))).when(T.is_known_zone("_zone") & written.contains("/"), written)
     utc = F.when(F.col("_epoch").isNotNull(), F.col("_epoch")).when(F.col("_offset").isNotNull(), F.col("_local") - F.col("_offset")).otherwise(T.local_to_utc_us(F.col("_local"), named))

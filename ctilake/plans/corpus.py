@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ctilake.functions.common import n_rows
 from ctilake.functions import text as X
 from ctilake.operators.dedup import keep_first, keep_priority
 from ctilake.sources.tables import broadcast_if_small, table
 
 BIG = "bigint"
-N = F.count(F.lit(1))
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First post of every text, with the text's fingerprint and number of rows."""
     rows = _posts(spark, sf_dir).select("post_key", X.normal(F.col("text")).alias("n")).filter("n <> ''").select("post_key", F.sha2("n", 256).alias("fp"))
-    return rows.groupBy("fp").agg(F.min("post_key").alias("post_key"), N.alias("n_rows"))
+    return rows.groupBy("fp").agg(F.min("post_key").alias("post_key"), n_rows().alias("n_rows"))
 
 
 def dedup_source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def dedup_source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _posts(spark, sf_dir).select("post_key", "source_dataset", X.normal(F.coalesce("text", F.lit(""))).alias("n"))
     rows = rows.select("post_key", "source_dataset", F.when(F.col("n") != "", F.sha2("n", 256)).alias("fp"))
     first = rows.filter("fp is not null").groupBy("fp").agg(F.min_by("source_dataset", "post_key").alias("source_dataset"))
-    written = first.groupBy("source_dataset").agg(N.alias("written"))
-    counts = rows.groupBy("source_dataset").agg(N.alias("input_rows"), F.count_if(F.col("fp").isNull()).alias("empty_rows"))
+    written = first.groupBy("source_dataset").agg(n_rows().alias("written"))
+    counts = rows.groupBy("source_dataset").agg(n_rows().alias("input_rows"), F.count_if(F.col("fp").isNull()).alias("empty_rows"))
     out = counts.join(written, "source_dataset", "left")
     return out.select("source_dataset", "input_rows", F.coalesce("written", F.lit(0)).alias("written_rows"), (F.col("input_rows") - F.col("empty_rows") - F.coalesce("written", F.lit(0))).alias("duplicate_rows"), "empty_rows")
 
@@ -54,14 +54,14 @@ def corpus_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     n = F.size(X.tokens(t))
     return _posts(spark, sf_dir).agg(
-        N.alias("n_rows"), F.count("timestamp").alias("with_timestamp"), F.count_if(t.rlike(r"CVE-\d{4}-\d{4,7}")).alias("with_cve"), F.count_if(n < 8).alias("short_rows"), F.count_if(n > 3000).alias("long_rows"),
+        n_rows().alias("n_rows"), F.count("timestamp").alias("with_timestamp"), F.count_if(t.rlike(r"CVE-\d{4}-\d{4,7}")).alias("with_cve"), F.count_if(n < 8).alias("short_rows"), F.count_if(n > 3000).alias("long_rows"),
         F.count_if(X.ascii_ratio(t) >= 0.9).alias("ascii_rows"), F.count_if(t.rlike("[\\u0400-\\u04FF]")).alias("cyrillic_rows"), F.count_if(X.cti_score(t) > 0).alias("cti_rows"),
     )
 
 
 def layer_forum_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by layer, forum and both with the share of all rows: one scan, pre-aggregated to forums before the sets expand."""
-    by_forum = _posts(spark, sf_dir).groupBy("forum_id").agg(N.alias("n"))
+    by_forum = _posts(spark, sf_dir).groupBy("forum_id").agg(n_rows().alias("n"))
     named = by_forum.join(broadcast_if_small(table(spark, sf_dir, "forums").select("forum_id", "source_layer")), "forum_id", "left")
     out = named.groupingSets([["source_layer"], ["forum_id"], ["source_layer", "forum_id"], []], "source_layer", "forum_id").agg(F.sum("n").alias("n"), F.grouping_id("source_layer", "forum_id").cast("int").alias("level"))
     whole = out.filter("level = 3").select(F.col("n").alias("_all"))
@@ -72,17 +72,17 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by number of tokens in six classes."""
     n = F.size(X.tokens(F.coalesce("text", F.lit(""))))
     bucket = F.when(n < 8, "0-7").when(n < 32, "8-31").when(n < 128, "32-127").when(n < 512, "128-511").when(n <= 3000, "512-3000").otherwise(">3000")
-    return table(spark, sf_dir, "documents").groupBy(bucket.alias("bucket")).agg(N.alias("n"))
+    return table(spark, sf_dir, "documents").groupBy(bucket.alias("bucket")).agg(n_rows().alias("n"))
 
 
 def year_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts by year of their ISO timestamps."""
-    return _posts(spark, sf_dir).select(F.year(X.iso_date(F.col("timestamp"))).alias("year")).filter("year is not null").groupBy("year").agg(N.alias("n"))
+    return _posts(spark, sf_dir).select(F.year(X.iso_date(F.col("timestamp"))).alias("year")).filter("year is not null").groupBy("year").agg(n_rows().alias("n"))
 
 
 def upper_median_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper median of the number of words by source, from the histogram of counts: no source's rows are sorted."""
-    counts = table(spark, sf_dir, "documents").select("source", X.word_count(F.coalesce("text", F.lit(""))).alias("words")).groupBy("source", "words").agg(N.alias("n"))
+    counts = table(spark, sf_dir, "documents").select("source", X.word_count(F.coalesce("text", F.lit(""))).alias("words")).groupBy("source", "words").agg(n_rows().alias("n"))
     w = W.partitionBy("source")
     run = counts.withColumn("upto", F.sum("n").over(w.orderBy("words"))).withColumn("total", F.sum("n").over(w))
     return run.filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("source").agg(F.min("words").alias("median_words"), F.max("total").alias("n_docs"))
@@ -92,14 +92,14 @@ def source_stats_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts, dates and mean tokens of every source beside the links of every source, sources of either kind kept."""
     docs = table(spark, sf_dir, "documents")
     day = F.date_format("published_at", "yyyy-MM-dd")
-    stats = docs.groupBy("source").agg(N.alias("docs"), F.min(F.when(day > "1990", day)).alias("first_day"), F.max(F.when(day > "1990", day)).alias("last_day"), F.round(F.avg(F.greatest(F.lit(1), F.floor(F.length("text") / 4))), 6).alias("mean_tokens"))
-    items = table(spark, sf_dir, "task1_cve_linkage").groupBy("source").agg(N.alias("links"), F.count_distinct("id").alias("linked_posts"), F.count_distinct("cve_id").alias("cves"))
+    stats = docs.groupBy("source").agg(n_rows().alias("docs"), F.min(F.when(day > "1990", day)).alias("first_day"), F.max(F.when(day > "1990", day)).alias("last_day"), F.round(F.avg(F.greatest(F.lit(1), F.floor(F.length("text") / 4))), 6).alias("mean_tokens"))
+    items = table(spark, sf_dir, "task1_cve_linkage").groupBy("source").agg(n_rows().alias("links"), F.count_distinct("id").alias("linked_posts"), F.count_distinct("cve_id").alias("cves"))
     return stats.join(items, "source", "full").select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("docs", "links", "linked_posts", "cves")], "first_day", "last_day", "mean_tokens")
 
 
 def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by layer and source with subtotals."""
-    counts = table(spark, sf_dir, "documents").groupBy("source_layer", "source").agg(N.alias("n"), F.sum("n_chars").alias("chars"))
+    counts = table(spark, sf_dir, "documents").groupBy("source_layer", "source").agg(n_rows().alias("n"), F.sum("n_chars").alias("chars"))
     return counts.rollup("source_layer", "source").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.grouping_id().cast("int").alias("level"))
 
 
@@ -107,10 +107,10 @@ def raw_corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct ids, threads and forums, repeated ids and texts, and coverage rates of the crawl."""
     raw = table(spark, sf_dir, "raw_posts").select("id", "thread_id", "forum_id", "cve_refs", "timestamp", "scraped_at", "author_hash", F.trim(F.coalesce("body", F.lit(""))).alias("b"))
     real = F.coalesce("timestamp", F.lit("")) != F.coalesce("scraped_at", F.lit(""))
-    texts = raw.filter("b <> ''").groupBy(F.sha2("b", 256).alias("fp")).agg((N - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("exact_duplicates"))
-    ids = raw.groupBy("id").agg((N - 1).alias("extra")).agg(F.sum("extra").alias("repeated_ids"))
+    texts = raw.filter("b <> ''").groupBy(F.sha2("b", 256).alias("fp")).agg((n_rows() - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("exact_duplicates"))
+    ids = raw.groupBy("id").agg((n_rows() - 1).alias("extra")).agg(F.sum("extra").alias("repeated_ids"))
     threads = raw.select("forum_id", "thread_id").distinct().agg(F.count("thread_id").alias("threads"))
-    rates = raw.agg(N.alias("n_rows"), F.count_distinct("forum_id").alias("forums"), F.count_if(real).alias("real_timestamps"), F.count_if(F.size("cve_refs") > 0).alias("with_cve"), F.round(100.0 * F.count("author_hash") / N, 2).alias("author_pct"))
+    rates = raw.agg(n_rows().alias("n_rows"), F.count_distinct("forum_id").alias("forums"), F.count_if(real).alias("real_timestamps"), F.count_if(F.size("cve_refs") > 0).alias("with_cve"), F.round(100.0 * F.count("author_hash") / n_rows(), 2).alias("author_pct"))
     return rates.crossJoin(F.broadcast(texts)).crossJoin(F.broadcast(ids)).crossJoin(F.broadcast(threads))
 
 
@@ -118,27 +118,27 @@ def quality_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, labels, short and non-ASCII texts and repeated texts of every split."""
     rows = table(spark, sf_dir, "task2_exploit_type").select(F.col("_split").alias("split"), "label", F.coalesce("text", F.lit("")).alias("t"))
     other = F.length(F.col("t")) - F.length(F.regexp_replace("t", r"[^\x00-\x7F]", ""))
-    main = rows.groupBy("split").agg(N.alias("n_rows"), F.count_distinct("label").alias("labels"), F.count_if(X.word_count(F.col("t")) < 8).alias("short_rows"), F.count_if(other > 10).alias("non_ascii_rows"))
-    dup = rows.groupBy("split", X.fingerprint(F.col("t")).alias("fp")).agg((N - 1).alias("extra")).groupBy("split").agg(F.sum("extra").alias("duplicate_rows"))
+    main = rows.groupBy("split").agg(n_rows().alias("n_rows"), F.count_distinct("label").alias("labels"), F.count_if(X.word_count(F.col("t")) < 8).alias("short_rows"), F.count_if(other > 10).alias("non_ascii_rows"))
+    dup = rows.groupBy("split", X.fingerprint(F.col("t")).alias("fp")).agg((n_rows() - 1).alias("extra")).groupBy("split").agg(F.sum("extra").alias("duplicate_rows"))
     return main.join(dup, "split")
 
 
 def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 largest sources, ties by name."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(N.alias("n")).orderBy(F.desc("n"), "source").limit(25)
+    return table(spark, sf_dir, "documents").groupBy("source").agg(n_rows().alias("n")).orderBy(F.desc("n"), "source").limit(25)
 
 
 def source_year_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by layer, one column for every second year, as log10(n + 1)."""
     years = list(range(2010, 2026, 3))
     docs = table(spark, sf_dir, "documents").select("source_layer", F.year("published_at").alias("y"))
-    out = docs.groupBy("source_layer").pivot("y", years).agg(N)
+    out = docs.groupBy("source_layer").pivot("y", years).agg(n_rows())
     return out.select("source_layer", *[F.round(F.log10(F.coalesce(F.col(str(y)), F.lit(0)) + 1.0), 6).alias(f"y{y}") for y in years])
 
 
 def uniform_year_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every source spread evenly over its years, the remainder to the earliest."""
-    spans = table(spark, sf_dir, "documents").groupBy("source").agg(N.alias("n"), F.year(F.min("published_at")).alias("y0"), F.year(F.max("published_at")).alias("y1")).filter("y0 is not null")
+    spans = table(spark, sf_dir, "documents").groupBy("source").agg(n_rows().alias("n"), F.year(F.min("published_at")).alias("y0"), F.year(F.max("published_at")).alias("y1")).filter("y0 is not null")
     k = F.col("y1") - F.col("y0") + 1
     return spans.select("source", "n", "y0", k.alias("k"), F.explode(F.sequence("y0", "y1")).alias("year")).select("source", "year", (F.expr("n div k") + F.when(F.col("year") - F.col("y0") < F.col("n") % F.col("k"), 1).otherwise(0)).alias("share"))
 
@@ -146,8 +146,8 @@ def uniform_year_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks of the linkage items: unique ids, missing golds, repeated texts, range of dates, labels outside the classes."""
     items, pairs = table(spark, sf_dir, "task1_cve_linkage"), table(spark, sf_dir, "ev_pairs")
-    gold = items.select("cve_id").join(pairs.select("cve_id").filter("cve_id is not null").distinct(), "cve_id", "left_anti").agg(N.alias("gold_missing"))
-    main = items.agg(N.alias("n_rows"), F.count_distinct("item_id").alias("unique_items"), (N - F.count_distinct(X.fingerprint(F.coalesce("text", F.lit(""))))).alias("repeated_texts"), F.min(F.substring("timestamp", 1, 10)).alias("first_day"), F.max(F.substring("timestamp", 1, 10)).alias("last_day"))
+    gold = items.select("cve_id").join(pairs.select("cve_id").filter("cve_id is not null").distinct(), "cve_id", "left_anti").agg(n_rows().alias("gold_missing"))
+    main = items.agg(n_rows().alias("n_rows"), F.count_distinct("item_id").alias("unique_items"), (n_rows() - F.count_distinct(X.fingerprint(F.coalesce("text", F.lit(""))))).alias("repeated_texts"), F.min(F.substring("timestamp", 1, 10)).alias("first_day"), F.max(F.substring("timestamp", 1, 10)).alias("last_day"))
     outside = table(spark, sf_dir, "task2_exploit_type").agg(F.count_if(~F.col("label").isin("rce", "memory_corruption", "injection", "xss", "dos", "file_inclusion", "auth_access", "info_disclosure")).alias("labels_outside"))
     return main.crossJoin(F.broadcast(gold)).crossJoin(F.broadcast(outside))
 
@@ -161,7 +161,7 @@ def tpch_priority_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = (F.round(F.col("l_extendedprice") * 100) * (100 - F.round(F.col("l_discount") * 100))).cast(BIG)  # in ten-thousandths: sums of integers do not depend on their order
     per_order = li.groupBy("l_orderkey").agg(F.sum(exact).alias("v"))
     out = per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return out.groupBy("n_name", "year").agg(F.sum("v").alias("revenue_e4"), N.alias("orders"))
+    return out.groupBy("n_name", "year").agg(F.sum("v").alias("revenue_e4"), n_rows().alias("orders"))
 
 
 QUERIES = {f.__name__: f for f in (exact_dedup_keep_first, dedup_source_stats, dedup_priority, dedup_composite_key, corpus_counters, layer_forum_grouping_sets, token_histogram, year_histogram, upper_median_tokens, source_stats_full_outer, category_rollup, raw_corpus_audit, quality_by_split, top_sources, source_year_pivot, uniform_year_spread, integrity_report, tpch_priority_join)}

@@ -6,23 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ctilake.functions.common import filled, n_rows
 from ctilake.functions import text as X
 from ctilake.operators.release import POLICIES, apply_policy, violations
 from ctilake.sources.tables import broadcast_if_small, table
 
-N = F.count(F.lit(1))
-T = F.coalesce("text", F.lit(""))
 
 
 def cve_extract_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every identifier that a document mentions, once a document, in upper case."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.cve_ids(T)).alias("cve_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.cve_ids(filled())).alias("cve_id"))
     return docs.select("doc_id", "cve_id", X.cve_year(F.col("cve_id")).alias("year"))
 
 
 def cti_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword score of every post."""
-    return table(spark, sf_dir, "forum_posts").select("post_key", X.cti_score(T).alias("score"))
+    return table(spark, sf_dir, "forum_posts").select("post_key", X.cti_score(filled()).alias("score"))
 
 
 def actionable_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,26 +31,26 @@ def actionable_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_cascade_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every record by the first line of its text."""
-    first = F.regexp_extract(T, r"^([^\n]*)", 1)
+    first = F.regexp_extract(filled(), r"^([^\n]*)", 1)
     return table(spark, sf_dir, "task2_exploit_type").select("rec_id", X.title_class(first).alias("predicted"), "label")
 
 
 def weak_ternary_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts by weak label and forum."""
-    rows = table(spark, sf_dir, "forum_posts").select("forum_id", X.weak_label(T, T.rlike(r"(?i)CVE-\d{4}-\d{4,7}")).alias("label"))
-    return rows.groupBy("forum_id", "label").agg(N.alias("n"))
+    rows = table(spark, sf_dir, "forum_posts").select("forum_id", X.weak_label(filled(), filled().rlike(r"(?i)CVE-\d{4}-\d{4,7}")).alias("label"))
+    return rows.groupBy("forum_id", "label").agg(n_rows().alias("n"))
 
 
 def _with_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a severity line added by arithmetic on the key, as the tables hold none."""
     words = F.array(*map(F.lit, ("Critical", "HIGH", "medium", "Moderate", "low")))
     line = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("\nSeverity: "), F.get(words, (F.col("doc_id") % 5).cast("int")), F.lit("\n\nCVSS: 7.5"))).when(F.col("doc_id") % 7 == 4, " a high severity flaw").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(T, line).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(filled(), line).alias("text"))
 
 
 def severity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity word of an explicit field, with its ordinal; documents without one are left out."""
-    word = F.lower(F.regexp_extract(T, r"(?i)\bseverity\s*[:=]\s*(critical|high|medium|moderate|low)\b", 1))
+    word = F.lower(F.regexp_extract(filled(), r"(?i)\bseverity\s*[:=]\s*(critical|high|medium|moderate|low)\b", 1))
     name = F.when(word == "moderate", "medium").otherwise(word)
     ordinal = F.when(name == "critical", 3).when(name == "high", 2).when(name == "medium", 1).otherwise(0)
     return _with_severity(spark, sf_dir).filter(word != "").select("doc_id", name.alias("severity"), ordinal.alias("severity_label"))
@@ -59,13 +58,13 @@ def severity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leakage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the strict and warning severity patterns by source."""
-    flags = [F.count_if(T.rlike(p)).alias(n) for n, p in (X.SEVERITY_STRICT | X.SEVERITY_WARNING).items()]
-    return _with_severity(spark, sf_dir).groupBy("source").agg(*flags, N.alias("n_rows"))
+    flags = [F.count_if(filled().rlike(p)).alias(n) for n, p in (X.SEVERITY_STRICT | X.SEVERITY_WARNING).items()]
+    return _with_severity(spark, sf_dir).groupBy("source").agg(*flags, n_rows().alias("n_rows"))
 
 
 def severity_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters left when severity fields, scores and vectors go, and then paragraphs that still name one."""
-    t = T
+    t = filled()
     for p in (r"(?im)^\s*\[?\s*(severity|sev)\s*:\s*\S.*$", r"(?im)^\s*cvss(\s+(score|base score))?\s*:\s*[0-9.]+(\s*/\s*10)?\s*$", X.SEVERITY_STRICT["cvss_vector"]):
         t = F.regexp_replace(t, p, "")
     named = lambda p: F.lower(p).contains("severity") & F.lower(p).rlike("critical|high|medium|moderate|low")
@@ -76,13 +75,13 @@ def severity_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def condition_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters left of every record under each masking condition."""
     conditions = {"as_released": {}, "minus_cve_ids": {"cve": True}, "minus_urls": {"url": True}, "minus_versions": {"version": True}}
-    return table(spark, sf_dir, "task2_exploit_type").select("rec_id", *[F.length(X.mask(T, **kw)).alias(n) for n, kw in conditions.items()])
+    return table(spark, sf_dir, "task2_exploit_type").select("rec_id", *[F.length(X.mask(filled(), **kw)).alias(n) for n, kw in conditions.items()])
 
 
 def condition_masks_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for header lines alone and for everything together."""
     every = {"cve": True, "url": True, "version": True, "boilerplate": True}
-    return table(spark, sf_dir, "task2_exploit_type").select("rec_id", F.length(X.mask(T, boilerplate=True)).alias("minus_boilerplate"), F.length(X.mask(T, **every)).alias("all_removed"))
+    return table(spark, sf_dir, "task2_exploit_type").select("rec_id", F.length(X.mask(filled(), boilerplate=True)).alias("minus_boilerplate"), F.length(X.mask(filled(), **every)).alias("all_removed"))
 
 
 def clean_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +91,9 @@ def clean_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of mainly ASCII text, of none, and of the band between, by forum."""
-    r = X.ascii_ratio(T)
+    r = X.ascii_ratio(filled())
     gate = F.when(r >= 0.85, "accept").when(r < 0.5, "reject").otherwise("band")
-    return table(spark, sf_dir, "forum_posts").groupBy("forum_id", gate.alias("gate")).agg(N.alias("n"))
+    return table(spark, sf_dir, "forum_posts").groupBy("forum_id", gate.alias("gate")).agg(n_rows().alias("n"))
 
 
 def preprocessing_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +103,8 @@ def preprocessing_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = X.word_count(F.col("t"))
     stage = F.when(F.col("t") == "", 0).when(~real, 1).when(X.ascii_ratio(F.col("t")) < 0.85, 2).when(~words.between(4, 2000), 3).otherwise(4)
     staged = raw.select("row_id", stage.alias("stage"), F.when(stage == 4, X.fingerprint(F.col("t"))).alias("fp"))
-    kept = staged.filter("stage = 4").groupBy("fp").agg(F.min("row_id").alias("row_id")).agg(N.alias("after_dedup"))
-    return staged.agg(N.alias("n_rows"), *[F.count_if(F.col("stage") >= i).alias(n) for i, n in ((1, "after_text"), (2, "after_timestamp"), (3, "after_language"), (4, "after_length"))]).crossJoin(F.broadcast(kept))
+    kept = staged.filter("stage = 4").groupBy("fp").agg(F.min("row_id").alias("row_id")).agg(n_rows().alias("after_dedup"))
+    return staged.agg(n_rows().alias("n_rows"), *[F.count_if(F.col("stage") >= i).alias(n) for i, n in ((1, "after_text"), (2, "after_timestamp"), (3, "after_language"), (4, "after_length"))]).crossJoin(F.broadcast(kept))
 
 
 def hmac_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,13 +141,13 @@ def per_thread_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and distinct addresses by canonical thread address."""
     raw = table(spark, sf_dir, "raw_posts").filter("thread_url is not null")
-    return raw.groupBy(X.canonical_url(F.col("thread_url")).alias("url")).agg(N.alias("n"), F.count_distinct("thread_url").alias("variants"))
+    return raw.groupBy(X.canonical_url(F.col("thread_url")).alias("url")).agg(n_rows().alias("n"), F.count_distinct("thread_url").alias("variants"))
 
 
 def engine_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected engine of every forum against the declared one."""
     raw = table(spark, sf_dir, "raw_posts").filter("thread_url is not null")
-    seen = raw.groupBy("forum_id", X.engine(F.col("thread_url"), F.lit(None).cast("string")).alias("detected")).agg(N.alias("n"))
+    seen = raw.groupBy("forum_id", X.engine(F.col("thread_url"), F.lit(None).cast("string")).alias("detected")).agg(n_rows().alias("n"))
     return seen.join(broadcast_if_small(table(spark, sf_dir, "forums").select("forum_id", "engine")), "forum_id").select("forum_id", "engine", "detected", "n")
 
 
@@ -168,14 +167,14 @@ def text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and share of every label within its split."""
-    n = table(spark, sf_dir, "task2_exploit_type").groupBy(F.col("_split").alias("split"), "label").agg(N.alias("n"))
+    n = table(spark, sf_dir, "task2_exploit_type").groupBy(F.col("_split").alias("split"), "label").agg(n_rows().alias("n"))
     return n.select("split", "label", "n", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy("split")), 3).alias("pct"))
 
 
 def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested access: keys of the JSON properties by type of event."""
     keys = table(spark, sf_dir, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("k"))
-    return keys.groupBy("event_type", "k").agg(N.alias("n"))
+    return keys.groupBy("event_type", "k").agg(n_rows().alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (cve_extract_explode, cti_score, actionable_patterns, title_cascade_label, weak_ternary_label, severity_extract, severity_strip, leakage_flags, condition_masks, condition_masks_boilerplate, clean_posts, language_gate, preprocessing_pipeline, hmac_rekey, governed_redaction, governed_validation, thread_first_post, per_thread_cap, url_canonical, engine_detect, html_strip, text_assembly, label_distribution, props_json)}

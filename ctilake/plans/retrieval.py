@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctilake.functions.common import n_rows
 from ctilake.functions import text as X
 from ctilake.operators import metrics as M
 from ctilake.operators import retrieval as R
 from ctilake.sources.tables import table
 
-N = F.count(F.lit(1))
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +92,13 @@ def binary_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and sample deviation over seeds of a metric by type of event; 0 for one seed."""
-    per_seed = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg((F.sum(F.round(F.col("value") * 100).cast("bigint")) / N).alias("m"))
-    return per_seed.groupBy("event_type").agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("m"), F.lit(0.0)), 4).alias("sd"), N.alias("seeds"))
+    per_seed = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg((F.sum(F.round(F.col("value") * 100).cast("bigint")) / n_rows()).alias("m"))
+    return per_seed.groupBy("event_type").agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("m"), F.lit(0.0)), 4).alias("sd"), n_rows().alias("seeds"))
 
 
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported and recomputed rows of every source with a tolerance flag."""
-    posts = table(spark, sf_dir, "forum_posts").groupBy("source_dataset").agg(N.alias("recomputed"))
+    posts = table(spark, sf_dir, "forum_posts").groupBy("source_dataset").agg(n_rows().alias("recomputed"))
     stats = table(spark, sf_dir, "unified_stats").groupBy("source_dataset").agg(F.sum("input_rows").alias("reported"))
     out = stats.join(posts, "source_dataset", "full").select("source_dataset", F.coalesce("reported", F.lit(0)).alias("reported"), F.coalesce("recomputed", F.lit(0)).alias("recomputed"))
     return out.withColumn("within", F.abs(F.col("reported") - F.col("recomputed")) <= 0.01 * F.col("reported"))
@@ -109,7 +109,7 @@ def overlap_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 19)), lambda i: F.substring(c, i, F.lit(20)))
     rows = table(spark, sf_dir, "ev_pairs").filter("exploit_text is not null and vulnerability_text is not null").select("label", F.lower("exploit_text").alias("a"), F.lower("vulnerability_text").alias("b"))
     shared = (F.length("a") >= 20) & (F.length("b") >= 20) & F.arrays_overlap(grams(F.col("a")), grams(F.col("b")))
-    return rows.groupBy("label", shared.alias("overlap")).agg(N.alias("n"))
+    return rows.groupBy("label", shared.alias("overlap")).agg(n_rows().alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (bm25_okapi_topk, bm25_plus_topk, bm25_smoke_topk, hybrid_fusion, rank_tie_bounds, ir_metrics_by_source, embedding_topk, bootstrap_ci, multiclass_f1, kappa, binary_auc, seed_aggregate, reconciliation, overlap_strata)}

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ctilake.functions.common import filled, n_rows
 from ctilake.functions import text as X
 from ctilake.operators.sampling import balanced, per_stratum, round_robin
 from ctilake.sources.tables import broadcast_if_small, table
 
-N = F.count(F.lit(1))
-T = F.coalesce("text", F.lit(""))
 
 
 def _family(cve):
@@ -32,7 +31,7 @@ def cve_year_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out items after those leave whose identifier the training items have, by split and year."""
     items = table(spark, sf_dir, "task1_cve_linkage").select("item_id", "cve_id", "split")
     seen = items.filter("split = 'train'").select("cve_id").distinct()
-    return items.filter("split <> 'train'").join(seen, "cve_id", "left_anti").groupBy("split", X.cve_year(F.col("cve_id")).alias("year")).agg(N.alias("n"))
+    return items.filter("split <> 'train'").join(seen, "cve_id", "left_anti").groupBy("split", X.cve_year(F.col("cve_id")).alias("year")).agg(n_rows().alias("n"))
 
 
 def ev_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def ev_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform("cve_refs", _family))).alias("family"))
     known = table(spark, sf_dir, "ev_pairs").filter("cve_id is not null and vulnerability_text is not null").groupBy(_family("cve_id").alias("family")).agg(F.min("pair_id").alias("pair_id"))
     links = table(spark, sf_dir, "task1_cve_linkage").groupBy(_family("cve_id").alias("family")).agg(F.min("item_id").alias("item_id"))
-    return mentions.join(links, "family", "left").join(known, "family", "left").groupBy(F.col("pair_id").isNotNull().alias("has_pair"), F.col("item_id").isNotNull().alias("has_item")).agg(N.alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return mentions.join(links, "family", "left").join(known, "family", "left").groupBy(F.col("pair_id").isNotNull().alias("has_pair"), F.col("item_id").isNotNull().alias("has_item")).agg(n_rows().alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +72,7 @@ def round_robin_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five per cent of the rows of every source by a threshold on the hash of the key: the sample is the feature."""
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(draw < int(0.05 * 2**32)).alias("sampled"), N.alias("n"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(draw < int(0.05 * 2**32)).alias("sampled"), n_rows().alias("n"))
 
 
 def time_spell_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,26 +80,26 @@ def time_spell_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("d"))
     bounds = orders.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     spell = F.least(F.greatest(F.floor((F.col("d") - F.col("lo")) * 12 / (F.col("hi") - F.col("lo"))), F.lit(0)), F.lit(11)).cast("int")
-    n = orders.crossJoin(F.broadcast(bounds)).filter("hi > lo").groupBy(spell.alias("spell")).agg(N.alias("n"))
+    n = orders.crossJoin(F.broadcast(bounds)).filter("hi > lo").groupBy(spell.alias("spell")).agg(n_rows().alias("n"))
     return n.select("spell", "n", F.greatest(F.lit(1), F.bround(1000.0 * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1)))).cast("int")).alias("quota"))
 
 
 def split_overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that two splits share, for every pair of splits: splits are gathered by text first, so pairs come from a handful of names."""
-    rows = table(spark, sf_dir, "task2_exploit_type").select(F.col("_split").alias("s"), X.normal(T).alias("n")).filter("n <> ''").select("s", F.sha2("n", 256).alias("fp"))
+    rows = table(spark, sf_dir, "task2_exploit_type").select(F.col("_split").alias("s"), X.normal(filled()).alias("n")).filter("n <> ''").select("s", F.sha2("n", 256).alias("fp"))
     by = rows.groupBy("fp").agg(F.array_sort(F.collect_set("s")).alias("s"))
     pairs = by.filter(F.size("s") > 1).select(F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("left_split"), F.col("p.b").alias("right_split")).agg(N.alias("shared"))
+    return pairs.groupBy(F.col("p.a").alias("left_split"), F.col("p.b").alias("right_split")).agg(n_rows().alias("shared"))
 
 
 def vocab_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard similarity of the vocabularies of every two document layers; words occur in three rows at least."""
-    words = table(spark, sf_dir, "documents").select("source_layer", F.explode(F.array_distinct(X.vocabulary_tokens(T))).alias("w"))
-    kept = words.groupBy("source_layer", "w").agg(N.alias("n")).filter("n >= 3")
-    sizes = kept.groupBy("source_layer").agg(N.alias("size"))
+    words = table(spark, sf_dir, "documents").select("source_layer", F.explode(F.array_distinct(X.vocabulary_tokens(filled()))).alias("w"))
+    kept = words.groupBy("source_layer", "w").agg(n_rows().alias("n")).filter("n >= 3")
+    sizes = kept.groupBy("source_layer").agg(n_rows().alias("size"))
     by = kept.groupBy("w").agg(F.array_sort(F.collect_set("source_layer")).alias("s"))
     pairs = by.select(F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-    both = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(N.alias("shared"))
+    both = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(n_rows().alias("shared"))
     left, right = sizes.select(F.col("source_layer").alias("a"), F.col("size").alias("na")), sizes.select(F.col("source_layer").alias("b"), F.col("size").alias("nb"))
     return both.join(broadcast_if_small(left), "a").join(broadcast_if_small(right), "b").select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
@@ -109,13 +108,13 @@ def corpus_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of items and of pairs: on either side alone or on both."""
     a = table(spark, sf_dir, "task1_cve_linkage").select(_family("cve_id").alias("family")).filter("family is not null").distinct().withColumn("in_items", F.lit(True))
     b = table(spark, sf_dir, "ev_pairs").select(_family("cve_id").alias("family")).filter("family is not null").distinct().withColumn("in_pairs", F.lit(True))
-    return a.join(b, "family", "full").groupBy(F.coalesce("in_items", F.lit(False)).alias("in_items"), F.coalesce("in_pairs", F.lit(False)).alias("in_pairs")).agg(N.alias("n"))
+    return a.join(b, "family", "full").groupBy(F.coalesce("in_items", F.lit(False)).alias("in_items"), F.coalesce("in_pairs", F.lit(False)).alias("in_pairs")).agg(n_rows().alias("n"))
 
 
 def latest_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title of every thread by its last row, joined back to the number of its posts."""
     raw = table(spark, sf_dir, "raw_posts").filter("thread_id is not null")
-    return raw.groupBy("forum_id", "thread_id").agg(F.max_by("thread_title", "row_id").alias("title"), N.alias("posts"))
+    return raw.groupBy("forum_id", "thread_id").agg(F.max_by("thread_title", "row_id").alias("title"), n_rows().alias("posts"))
 
 
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
