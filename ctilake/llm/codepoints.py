@@ -33,7 +33,13 @@ def utf8(array: pa.Array) -> tuple[bytes, np.ndarray]:
     off = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
     data = array.buffers()[2]
     blob = data.to_pybytes()[off[0] : off[-1]] if data is not None and len(off) else b""
-    return blob, off - off[0]
+    off = off - off[0]
+    try:
+        blob.decode("utf-8")
+    except UnicodeDecodeError:  # broken bytes become replacement marks, row by row
+        rows = [blob[a:b].decode("utf-8", "replace").encode() for a, b in zip(off, off[1:])]
+        blob, off = b"".join(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+    return blob, off
 
 
 def decode(blob: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
