@@ -26,6 +26,7 @@ ROUNDS = 3
 MOST_BIGRAMS = 500_000
 EVIDENCE = 1.0  # log likelihood ratio, priors included, from which a field counts as garbled
 CLEAR = 1.5  # what a piece must reach to be evidence at all
+LETTERS = 3  # characters that a piece has at least to speak for a swap of single-byte pages
 BACKOFF = 5.0
 LEAST_SHARE = 1e-3
 PRIOR_PIECES = 20.0  # weight of the shares over all sources in those of one source
@@ -59,7 +60,8 @@ def _utf8(read: str) -> Callable[[str], str]:
     of = lambda lo, hi: "[" + "".join(map(re.escape, chars[lo : hi + 1])) + "]"
     rest = of(0x80, 0xBF)
     two = of(0xC2, 0xC5)[:-1] + of(0xCE, 0xD1)[1:]  # Latin, Greek, Cyrillic; letters beyond are not in use and look like words elsewhere
-    sequence = re.compile(f"{two}{rest}|{of(0xE0, 0xEF)}{rest}{{2}}|{of(0xF0, 0xF4)}{rest}{{3}}")
+    # in cp866 the leads of longer sequences and what follows them are all Cyrillic letters: words would pass for sequences
+    sequence = re.compile(f"{two}{rest}" if read == "cp866" else f"{two}{rest}|{of(0xE0, 0xEF)}{rest}{{2}}|{of(0xF0, 0xF4)}{rest}{{3}}")
 
     def one(m: re.Match) -> str:
         try:
@@ -138,6 +140,8 @@ def readings(piece: str, bigrams: Bigrams) -> list[tuple[str, float, str]]:
     """(cipher, log likelihood ratio against the piece as it stands, deciphered piece) of every cipher that changes it."""
     as_is, out = bigrams.score(piece), []
     for name, decipher in ciphers().items():
+        if len(piece) < LETTERS and not name.startswith("utf-8"):
+            continue  # one or two letters read well in any alphabet
         if (text := decipher(piece)) != piece:
             out.append((name, bigrams.score(text) - as_is, text))
     return out
