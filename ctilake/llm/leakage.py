@@ -38,15 +38,19 @@ class Passages:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = {i: w for i, t in items if len(w := words(t)) >= WORDS}
         self.letters: dict[str, str] = {}
-        for w in self.items.values():
-            for x in w:
-                if x not in self.letters:
-                    n = len(self.letters) % LETTERS + 1
-                    self.letters[x] = chr(n if n < 0xD800 else n + 0x800)
+        spelled: dict[int, str] = {}
+        for i, t in items:
+            if len(ws := words(t)) >= WORDS:
+                for x in ws:
+                    if x not in self.letters:
+                        n = len(self.letters) % LETTERS + 1
+                        self.letters[x] = chr(n if n < 0xD800 else n + 0x800)
+                spelled[i] = self.spell(ws)
+        # letters stand for words one to one unless there are more words than letters: then words are compared
+        self.exact = len(self.letters) <= LETTERS
+        self.items = spelled if self.exact else {i: words(t) for i, t in items if i in spelled}
         blocks: dict[str, list[tuple[int, int]]] = {}
-        spelled = {i: self.spell(w) for i, w in self.items.items()}
         for i, s in spelled.items():
             for at in range(0, len(s) - BLOCK + 1, BLOCK):
                 blocks.setdefault(s[at : at + BLOCK], []).append((i, at))
@@ -75,6 +79,7 @@ class Passages:
         if len(ws) < WORDS or not self.any:
             return {}
         s = self.spell(ws)
+        ws = s if self.exact else ws
         found: dict[int, tuple[int, int]] = {}
         tried = set()
         for end, places in self.automaton.iter(s):
