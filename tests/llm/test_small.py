@@ -261,6 +261,33 @@ def test_labels_spread_to_near_duplicates(spark):
     assert sorted(r["key"] for r in residue.residue(frame(spark, rows), "id", "text").collect()) == [1, 2, 3]
 
 
+def spread_by_brute_force(rows):
+    """Keys reached from trusted bodies over pairs that are similar enough, every pair compared."""
+    sets = {k: residue.shingles(residue.masked(t)) for k, t in rows}
+    reached = todo = {k for k, t in rows if residue.trusted(t, frozenset())}
+    while todo:
+        todo = {k for k in sets if k not in reached and any(len(sets[k] & sets[j]) / len(sets[k] | sets[j]) >= residue.SIMILARITY for j in todo)}
+        reached = reached | todo
+    return reached
+
+
+def test_labels_spread_over_any_simhash_distance(spark):
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows, far = [], 0
+    for i in range(30):
+        lines = [f"#{j} {name()}.php({j}): {name()}" for j in range(28)]
+        other = lines[:]
+        other[rnd.randrange(3, 25)] = f"{name()} stands here instead" if i % 3 == 0 else f"#1 {name()}.php(1): {name()} {name()}"
+        page, copy = ("404 Not Found " + " ".join(x) for x in (lines, other))
+        rows += [(3 * i, page), (3 * i + 1, copy), (3 * i + 2, " ".join(name() for _ in range(60)))]
+        a, b = (int(x) for x in residue.simhash([residue.shingles(residue.masked(t)) for t in (page, copy)]))
+        far += bin((a ^ b) & (2**64 - 1)).count("1") > residue.HAMMING
+    want = spread_by_brute_force(rows)
+    assert far > 15 and len(want) > 40
+    assert {r["key"] for r in residue.residue(frame(spark, rows), "id", "text").collect()} == want
+
+
 # --- problem 1 -------------------------------------------------------------------------------------------------------
 
 CLEAN = ["Die Datei wird beim Start ungefragt in den Ordner geschrieben, für ältere Geräte gibt es keine Lösung", "El módulo se llama así y está al lado de la página", "Le problème a été signalé et l’éditeur préfère répondre après", "Файл создаётся при запуске без всякого предупреждения", "O parâmetro não é verificado, então é possível", "ATENÇÃO: A VERSÃO NÃO É SEGURA", "Kayıtlarda çöküşten önce görünüyor, parolayı değiştirin"]
