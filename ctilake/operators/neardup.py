@@ -85,12 +85,13 @@ def simhash_edges(df: DataFrame, key: str, text: str, hamming: int = 3) -> DataF
     return a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & (d <= hamming) & (F.col("i") == first)).select("a", "b", d.alias("distance"))
 
 
-def greedy_kept(nodes: DataFrame, edges: DataFrame, order: Column | None = None, rounds: int = 50) -> DataFrame:
+def greedy_kept(nodes: DataFrame, edges: DataFrame, order: Column | None = None) -> DataFrame:
     """(key, kept): the set that visiting nodes in order keeps when a node goes if a kept neighbour came before.
 
     Rounds of two joins: nodes with a kept earlier neighbour go, nodes without an undecided earlier
-    neighbour stay. Every round is cut through the checkpoint folder. ``nodes`` is (key), edges
-    (a, b), the order by key unless given as a column of nodes named ``rank``.
+    neighbour stay, until every node is decided: each round decides the first open node at least.
+    Every round is cut through the checkpoint folder. ``nodes`` is (key), edges (a, b), the order by
+    key unless given as a column of nodes named ``rank``.
     """
     rank = nodes.select("key", (F.col("key") if order is None else order).alias("rank"))
     e = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -98,9 +99,11 @@ def greedy_kept(nodes: DataFrame, edges: DataFrame, order: Column | None = None,
     later = cut(e.select("a", "b"))  # a comes after its neighbour b
     touched = later.select(F.col("a").alias("key")).distinct()
     state = cut(rank.join(touched.withColumn("open", F.lit(True)), "key", "left").select("key", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(True).alias("kept")))
-    for _ in range(rounds):
-        if state.filter("kept is null").isEmpty():
-            break
+    before = None
+    while still_open := state.filter("kept is null").count():
+        if still_open == before:
+            raise ValueError("nodes wait for one another: keys must be unique")
+        before = still_open
         around = later.join(state.select(F.col("key").alias("b"), F.col("kept").alias("kb")), "b").groupBy(F.col("a").alias("key")).agg(F.max(F.coalesce("kb", F.lit(False))).alias("has_kept"), F.max(F.col("kb").isNull()).alias("has_open"))
         state = cut(state.join(around, "key", "left").select("key", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("has_kept"), False).when(~F.col("has_open"), True).alias("kept")))
     return state

@@ -168,6 +168,13 @@ def test_greedy_kept_equals_the_loop(spark):
         assert {r["key"] for r in out.filter("kept").collect()} == kept
 
 
+def test_greedy_kept_decides_long_chains(spark):
+    n = 120
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "key int")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a int, b int")
+    assert {r["key"]: r["kept"] for r in D.greedy_kept(nodes, edges).collect()} == {i: i % 2 == 0 for i in range(n)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=80))
 def test_normal_form_is_idempotent(t):
