@@ -288,6 +288,17 @@ def test_labels_spread_over_any_simhash_distance(spark):
     assert {r["key"] for r in residue.residue(frame(spark, rows), "id", "text").collect()} == want
 
 
+def test_labels_spread_along_long_chains(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    line = lambda i, v: f"#{i} {name(7 * i + v)}.php({i}): {name(11 * i + v)}"
+    # every version rewrites the next five lines, so only neighbours in the chain are similar
+    rows = [(v, "404 Not Found " + " ".join(line(i, 500 * ((v + 14 - i // 5) // 15)) for i in range(75)) + " zzz" * (v > 0)) for v in range(24)]
+    assert [k for k, t in rows if residue.trusted(t, frozenset())] == [0]
+    want = spread_by_brute_force(rows)
+    assert want == set(range(24)) and spread_by_brute_force(rows[:5] + rows[6:]) == set(range(5))
+    assert {r["key"] for r in residue.residue(frame(spark, rows), "id", "text").collect()} == want
+
+
 # --- problem 1 -------------------------------------------------------------------------------------------------------
 
 CLEAN = ["Die Datei wird beim Start ungefragt in den Ordner geschrieben, für ältere Geräte gibt es keine Lösung", "El módulo se llama así y está al lado de la página", "Le problème a été signalé et l’éditeur préfère répondre après", "Файл создаётся при запуске без всякого предупреждения", "O parâmetro não é verificado, então é possível", "ATENÇÃO: A VERSÃO NÃO É SEGURA", "Kayıtlarda çöküşten önce görünüyor, parolayı değiştirin"]
