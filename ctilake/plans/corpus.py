@@ -129,13 +129,19 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_year_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by layer, one column for every second year, as log10(n + 1)."""
+    """Documents by layer, one column for every third year from 2010 to 2025, as log10(n + 1). ``source_year_counts`` has every year."""
     years = list(range(2010, 2026, 3))
     docs = table(spark, sf_dir, "documents").select("source_layer", F.year("published_at").alias("y"))
     out = docs.groupBy("source_layer").pivot("y", years).agg(n_rows())
     return out.select("source_layer", *[F.round(F.log10(F.coalesce(F.col(str(y)), F.lit(0)) + 1.0), 6).alias(f"y{y}") for y in years])
 
 
+def source_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by layer and every year that the data hold, undated ones under a null year, with log10(n + 1)."""
+    docs = table(spark, sf_dir, "documents").groupBy("source_layer", F.year("published_at").alias("year")).agg(n_rows().alias("n"))
+    return docs.select("source_layer", "year", "n", F.round(F.log10(F.col("n") + 1.0), 6).alias("log_n"))
+
+
 def uniform_year_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every source spread evenly over its years, the remainder to the earliest."""
     spans = table(spark, sf_dir, "documents").groupBy("source").agg(n_rows().alias("n"), F.year(F.min("published_at")).alias("y0"), F.year(F.max("published_at")).alias("y1")).filter("y0 is not null")
@@ -164,7 +170,7 @@ def tpch_priority_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("n_name", "year").agg(F.sum("v").alias("revenue_e4"), n_rows().alias("orders"))
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup_keep_first, dedup_source_stats, dedup_priority, dedup_composite_key, corpus_counters, layer_forum_grouping_sets, token_histogram, year_histogram, upper_median_tokens, source_stats_full_outer, category_rollup, raw_corpus_audit, quality_by_split, top_sources, source_year_pivot, uniform_year_spread, integrity_report, tpch_priority_join)}
+QUERIES = {f.__name__: f for f in (exact_dedup_keep_first, dedup_source_stats, dedup_priority, dedup_composite_key, corpus_counters, layer_forum_grouping_sets, token_histogram, year_histogram, upper_median_tokens, source_stats_full_outer, category_rollup, raw_corpus_audit, quality_by_split, top_sources, source_year_pivot, source_year_counts, uniform_year_spread, integrity_report, tpch_priority_join)}
 
 NORMAL = r"trim(regexp_replace(lower({}), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 _n = lambda c: NORMAL.format(c)
@@ -199,6 +205,7 @@ select coalesce(d.source, i.source) as source, coalesce(docs, 0) as docs, coales
 select r.split, count(*) as n_rows, count(distinct label) as labels, count(*) filter (len(regexp_extract_all(t, '[^ \t\n\r\f\v]+')) < 8) as short_rows, count(*) filter (length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) > 10) as non_ascii_rows, any_value(duplicate_rows) as duplicate_rows from r join d on r.split = d.split group by 1""",
     "top_sources": "select source, count(*) as n from documents group by 1 order by n desc, source limit 25",
     "source_year_pivot": "select source_layer, " + ", ".join(f"round(log10(count(*) filter (year(published_at) = {y}) + 1.0::double), 6) as y{y}" for y in range(2010, 2026, 3)) + " from documents group by 1",
+    "source_year_counts": "select source_layer, year(published_at)::int as year, count(*) as n, round(log10(count(*) + 1.0::double), 6) as log_n from documents group by 1, 2",
     "uniform_year_spread": "with s as (select source, count(*) as n, year(min(published_at)) as y0, year(max(published_at)) as y1 from documents group by 1) select source, year::int as year, n // (y1 - y0 + 1) + case when year - y0 < n % (y1 - y0 + 1) then 1 else 0 end as share from s, unnest(range(y0, y1 + 1)) as u(year) where y0 is not null",
     "integrity_report": f"""select count(*) as n_rows, count(distinct item_id) as unique_items, count(*) - count(distinct {_n("coalesce(text, '')")}) as repeated_texts, min(substr(timestamp, 1, 10)) as first_day, max(substr(timestamp, 1, 10)) as last_day,
 (select count(*) from task1_cve_linkage i where cve_id is not null and not exists (select 1 from ev_pairs p where p.cve_id = i.cve_id)) + (select count(*) from task1_cve_linkage where cve_id is null) as gold_missing,

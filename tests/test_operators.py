@@ -16,6 +16,7 @@ from ctilake.operators import release
 from ctilake.operators import retrieval as R
 from ctilake.operators.dedup import keep_first, keep_last, keep_priority
 from ctilake.operators.sampling import balanced, per_stratum, round_robin
+from ctilake.plans import corpus
 from ctilake.sources import html as H
 from ctilake.sources import readers, schemas, writers
 from ctilake.sources.paged import PagedJson
@@ -175,6 +176,13 @@ def test_greedy_kept_decides_long_chains(spark):
     assert {r["key"]: r["kept"] for r in D.greedy_kept(nodes, edges).collect()} == {i: i % 2 == 0 for i in range(n)}
 
 
+def test_every_year_is_counted(spark, tmp_path):
+    years = [*range(1999, 2031), None]
+    docs = spark.createDataFrame([("a", y and f"{y}-06-01") for y in years], "source_layer string, d string")
+    docs.select("source_layer", F.to_timestamp("d").alias("published_at")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r["year"], r["n"]) for r in corpus.source_year_counts(spark, str(tmp_path)).collect()} == {(y, 1) for y in years}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=80))
 def test_normal_form_is_idempotent(t):
