@@ -43,7 +43,7 @@ def ev_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One negative for every pair with an identifier: the next pair of another identifier in hash order, within sixteen hash buckets."""
+    """The next pair in hash order within sixteen hash buckets, where it has another identifier. ``negative_for_every_pair`` leaves none out."""
     key = F.md5(F.concat(F.lit("42|"), F.col("pair_id").cast("string")))
     rows = table(spark, sf_dir, "ev_pairs").filter("cve_id is not null").select("pair_id", "cve_id", key.alias("k"))
     w = W.partitionBy(F.substring("k", 1, 1)).orderBy("k", "pair_id")
@@ -51,6 +51,32 @@ def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("other_cve") != F.col("cve_id")).select("pair_id", F.col("other").alias("negative_id"))
 
 
+def negative_for_every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One negative for every pair with an identifier: the next pair of another identifier in hash order, the first after the last.
+
+    Pairs are ordered within 4,096 hash buckets, so no task holds more than its share. Pairs without
+    another identifier in the rest of their bucket all have the bucket's last one, and get theirs from
+    a summary of the buckets. Where all pairs have one identifier there are no negatives.
+    """
+    key = F.md5(F.concat(F.lit("42|"), F.col("pair_id").cast("string")))
+    rows = table(spark, sf_dir, "ev_pairs").filter("cve_id is not null").select("pair_id", "cve_id", key.alias("k")).withColumn("bucket", F.conv(F.substring("k", 1, 3), 16, 10).cast("int"))
+    w = W.partitionBy("bucket").orderBy(F.desc("k"), F.desc("pair_id"))
+    # from the end: the last row of every run of equal identifiers names the first of the next run
+    rows = rows.withColumn("next", F.when(F.lag("cve_id").over(w) != F.col("cve_id"), F.struct(F.lag("pair_id").over(w).alias("pair_id"))))
+    rows = rows.withColumn("next", F.last("next", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    at = F.struct("k", "pair_id")
+    ends = rows.groupBy("bucket").agg(F.min_by("pair_id", at).alias("first"), F.min_by("cve_id", at).alias("first_cve"), F.min_by(F.col("next.pair_id"), at).alias("second"), F.max_by("cve_id", at).alias("last_cve")).orderBy("bucket").collect()
+    over = []
+    for i, end in enumerate(ends):
+        for b in ends[i + 1 :] + ends[: i + 1]:
+            other = b["first"] if b["first_cve"] != end["last_cve"] else b["second"]
+            if other is not None:
+                over.append((end["bucket"], other))
+                break
+    over = F.broadcast(spark.createDataFrame(over, "bucket int, over bigint"))
+    return rows.join(over, "bucket", "left").select("pair_id", F.coalesce("next.pair_id", "over").alias("negative_id")).filter("negative_id is not null")
+
+
 def balanced_pos_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many posts with an identifier as without in every source, chosen in hash order."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", (F.size("cve_refs") > 0).cast("int").alias("label"))
@@ -124,7 +150,7 @@ def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("place", F.row_number().over(w)).filter("place <= 20").select("event_type", "event_id", "value", "place")
 
 
-QUERIES = {f.__name__: f for f in (linkage_split_semi, cve_year_disjoint, ev_pairs, negative_pairs, balanced_pos_neg, label_cap, round_robin_strata, hash_sample, time_spell_sample, split_overlap_matrix, vocab_jaccard, corpus_difference, latest_title)}
+QUERIES = {f.__name__: f for f in (linkage_split_semi, cve_year_disjoint, ev_pairs, negative_pairs, negative_for_every_pair, balanced_pos_neg, label_cap, round_robin_strata, hash_sample, time_spell_sample, split_overlap_matrix, vocab_jaccard, corpus_difference, latest_title)}
 QUERIES["top_events_by_type"] = exact_search
 _norm = lambda c: rf"trim(regexp_replace(lower({c}), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 _ISO = r"regexp_matches(substr(timestamp, 1, 10), '^\d{4}-\d{2}-\d{2}$')"
@@ -140,6 +166,9 @@ from task1_cve_linkage i where exists (select 1 from ev_pairs p where {_fam('p.c
 left join (select {_fam('cve_id')} as f, min(item_id) as item_id from task1_cve_linkage group by 1) i on m.f = i.f left join (select {_fam('cve_id')} as f, min(pair_id) as pair_id from ev_pairs where cve_id is not null and vulnerability_text is not null group by 1) p on m.f = p.f group by 1, 2""",
     "negative_pairs": """with r as (select pair_id, cve_id, md5('42|' || pair_id::varchar) as k from ev_pairs where cve_id is not null), l as (select *, lead(pair_id) over w as o, lead(cve_id) over w as c from r window w as (partition by substr(k, 1, 1) order by k, pair_id))
 select pair_id, o as negative_id from l where c <> cve_id""",
+    "negative_for_every_pair": """with r as (select pair_id, cve_id, row_number() over (order by md5('42|' || pair_id::varchar), pair_id) as i, count(*) over () as n from ev_pairs where cve_id is not null), t as (select *, i as j from r union all select *, i + n from r),
+l as (select *, lead(pair_id) over w as o, lead(cve_id) over w as c from t window w as (order by j)), m as (select pair_id, i = j as own, first_value(case when c <> cve_id then o end ignore nulls) over (order by j rows between current row and unbounded following) as negative_id from l)
+select pair_id, negative_id from m where own and negative_id is not null""",
     "balanced_pos_neg": f"""with r as (select doc_id, source, (len(cve_refs) > 0)::int as label from documents), k as (select *, {_rank('source, label', 'doc_id')} as rn, least(count(*) filter (label = 1) over (partition by source), count(*) filter (label = 0) over (partition by source)) as m from r)
 select doc_id, source, label from k where rn <= m""",
     "label_cap": f"with k as (select rec_id, _split as split, label, {_rank('_split, label', 'rec_id')} as rn from task2_exploit_type) select rec_id, split, label from k where rn <= 40",

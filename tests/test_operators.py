@@ -16,7 +16,7 @@ from ctilake.operators import release
 from ctilake.operators import retrieval as R
 from ctilake.operators.dedup import keep_first, keep_last, keep_priority
 from ctilake.operators.sampling import balanced, per_stratum, round_robin
-from ctilake.plans import corpus
+from ctilake.plans import corpus, splits
 from ctilake.sources import html as H
 from ctilake.sources import readers, schemas, writers
 from ctilake.sources.paged import PagedJson
@@ -183,6 +183,19 @@ def test_every_year_is_counted(spark, tmp_path):
     assert {(r["year"], r["n"]) for r in corpus.source_year_counts(spark, str(tmp_path)).collect()} == {(y, 1) for y in years}
 
 
+def test_every_pair_gets_a_negative(spark, tmp_path):
+    rnd = random.Random(7)
+    cases = {"hot": [(i, "CVE-1" if rnd.random() < 0.6 else f"CVE-{rnd.randrange(40)}") for i in range(300)] + [(999, None)], "nearly_one": [(i, "CVE-2" if i == 17 else "CVE-1") for i in range(50)], "one": [(i, "CVE-1") for i in range(5)]}
+    for name, rows in cases.items():
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(rows, "pair_id bigint, cve_id string").write.parquet(str(tmp_path / name / "ev_pairs.parquet"))
+        order = sorted((r for r in rows if r[1]), key=lambda r: (hashlib.md5(f"42|{r[0]}".encode()).hexdigest(), r[0]))
+        want = {p: next((q for q, d in order[i:] + order[:i] if d != c), None) for i, (p, c) in enumerate(order)}
+        got = splits.negative_for_every_pair(spark, str(tmp_path / name)).collect()
+        assert len(got) == len({r["pair_id"] for r in got})
+        assert {r["pair_id"]: r["negative_id"] for r in got} == {p: q for p, q in want.items() if q is not None}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=80))
 def test_normal_form_is_idempotent(t):
