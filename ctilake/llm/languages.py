@@ -179,6 +179,30 @@ def _is_sentence(words: list[str]) -> bool:
     return han >= HAN or (sum(len(w) > 1 for w in words) >= WORDS and sum(map(len, words)) >= LETTERS)
 
 
+def _pieces(words: list[str], v: np.ndarray) -> list[tuple[list[str], np.ndarray]]:
+    """Words and summed scores of the parts of a segment, cut again as long as a cut gains enough and leaves whole sentences.
+
+    Neighbouring parts of one language, which an earlier cut may have parted, are one again.
+    """
+    out, todo = [], [(0, len(words))]
+    sums = np.concatenate((np.zeros((1, v.shape[1])), np.cumsum(v, axis=0, dtype=np.float64)))
+    while todo:
+        a, b = todo.pop()
+        total = sums[b] - sums[a]
+        if b - a >= 2 * WORDS:
+            gain = (sums[a:b] - sums[a]).max(1) + (sums[b] - sums[a:b]).max(1) - total.max()
+            at = a + int(np.argmax(gain))
+            if gain[at - a] > SPLIT_GAIN * max(float(total.max()), 1e-6) and _is_sentence(words[a:at]) and _is_sentence(words[at:b]):
+                todo += [(at, b), (a, at)]
+                continue
+        if out and np.argmax(out[-1][1]) == np.argmax(total):
+            before, score = out.pop()
+            out.append((before + words[a:b], score + total))
+        else:
+            out.append((words[a:b], total))
+    return out
+
+
 def classify(model: Model, texts: list[str]) -> list[list[tuple[list[str], str, float, bool]]]:
     """For every text its segments: (words, language, confidence, whether it is a whole sentence of that language)."""
     parts = [segments(t) for t in texts]
@@ -199,12 +223,8 @@ def classify(model: Model, texts: list[str]) -> list[list[tuple[list[str], str,
         rows = []
         for s in p:
             a, b = starts[k], ends[k]
-            pieces = [(s, total[k])]
-            if len(s) >= 2 * WORDS and best[k] > SPLIT_GAIN * max(float(total[k].max()), 1e-6):
-                at = int(np.argmax(gain[a:b]))
-                halves = [(s[:at], prefix[a + at]), (s[at:], total[k] - prefix[a + at])]
-                if all(_is_sentence(h) for h, _ in halves):
-                    pieces = halves
+            may_split = len(s) >= 2 * WORDS and best[k] > SPLIT_GAIN * max(float(total[k].max()), 1e-6)
+            pieces = _pieces(s, v[a:b]) if may_split else [(s, total[k])]
             for words, score in pieces:
                 order = np.argsort(score)[::-1]
                 top, second = float(score[order[0]]), float(score[order[1]]) if len(order) > 1 else 0.0

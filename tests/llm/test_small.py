@@ -345,6 +345,16 @@ def test_relabel(spark):
     assert [r["lang"] for r in parts] == ["en", "ru"]
 
 
+def test_three_languages_without_sentence_ends():
+    model = languages.fit([(t, c) for c, t in SAID.items()] * 60)
+    text = "\n".join(SAID[c] for c in ("de", "es", "ru", "en"))
+    assert len(languages.segments(text)) == 1
+    parts = languages.classify(model, [text])[0]
+    assert [lang for _, lang, _, _ in parts] == ["de", "es", "ru", "en"]
+    assert [w for words, *_ in parts for w in words] == languages.segments(text)[0]
+    assert languages.languages_of(parts) == ["de", "en", "es", "ru"]
+
+
 def test_held_out_accuracy():
     import duckdb
 
