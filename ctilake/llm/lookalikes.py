@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from ctilake.llm import codepoints as C
 from ctilake.sources.tables import cut, table
 
-# Letters of other scripts that are drawn as Latin letters.
+# Letters of other scripts that are drawn as Latin letters, by script: Cyrillic, Greek, Armenian, Cherokee, and letters and hyphens that have a twin.
 LOOKALIKES = dict(zip(
-    "аеорсухіѕјһԁԛԝѵɡӏ" "АВЕКМНОРСТУХІЅЈԌԚԜ" "ονρ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-    "aeopcyxisjhdqwvgl" "ABEKMHOPCTYXISJGQW" "ovp" "ABEZHIKMNOPTYX",
+    "аеорсухіѕјһԁԛԝѵɡӏк" "АВЕКМНОРСТУХІЅЈԌԚԜӀ" "ονραυ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "օսհոցզյՕՍՏԼ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏔᏙᏚᏞᏟᏢᏦᏴ" "‐‑",
+    "aeopcyxisjhdqwvglk" "ABEKMHOPCTYXISJGQWI" "ovpau" "ABEZHIKMNOPTYX" "ouhngqjOUSL" "DRTAJEWMHYGZWVSLCPKB" "--",
 ))
 # Compatibility decompositions that leave the look of a character as it is; superscripts, circles and fractions look different.
 SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>"}
 DROP, BLANK = (), (32,)
+HOT_ROWS = 20_000  # of one canonical form, before its pairs are made in parts
 
 
 def _expand(c: int) -> tuple[int, ...]:
@@ -35,8 +36,10 @@ def _expand(c: int) -> tuple[int, ...]:
     if kind in ("Cc", "Cf") or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF or c in (0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0):
         return DROP
     parts = unicodedata.decomposition(ch).split()
-    if not parts:
+    if not parts or ch in LOOKALIKES:
         return (ord(LOOKALIKES.get(ch, ch)),)
+    if 0x3131 <= c <= 0x318E:
+        return (c,)  # letters of Hangul that stand alone do not join
     if parts[0].startswith("<"):
         if parts[0] not in SAME_LOOK:
             return (c,)
@@ -60,7 +63,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
         if 0xD800 <= c < 0xF900 or 0x323B0 <= c < 0xE0000 or c >= 0xE0200:
             continue  # surrogates, private use, unassigned: as they are
         if 0xAC00 <= c < 0xD7A4:
-            continue  # Hangul syllables stay composed; conjoining letters are not in use
+            continue  # Hangul syllables stay composed
         out = _expand(c)
         if len(out) == 1:
             single[c] = out[0]
@@ -79,6 +82,28 @@ def _keep(cps: np.ndarray, starts: np.ndarray, mask: np.ndarray) -> tuple[np.nda
     return cps[mask], np.concatenate(([0], np.cumsum(mask)))[starts]
 
 
+def _hangul(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Conjoining letters as syllables, by the arithmetic of their code points: first with vowel, then that with last."""
+    for lead, follow in (((0x1100, 0x1113), (0x1161, 0x1176)), ((0xAC00, 0xD7A4), (0x11A8, 0x11C3))):
+        if len(cps) < 2:
+            break
+        a, b = cps[:-1].astype(np.int64), cps[1:].astype(np.int64)
+        hit = (a >= lead[0]) & (a < lead[1]) & (b >= follow[0]) & (b < follow[1])
+        if lead[0] == 0xAC00:
+            hit &= (a - 0xAC00) % 28 == 0
+        inner = starts[(starts > 0) & (starts < len(cps))]
+        hit[inner - 1] = False
+        i = np.flatnonzero(hit)
+        if not len(i):
+            continue
+        cps = cps.copy()
+        cps[i] = (0xAC00 + ((a[i] - 0x1100) * 21 + b[i] - 0x1161) * 28) if lead[0] == 0x1100 else a[i] + b[i] - 0x11A7
+        mask = np.ones(len(cps), bool)
+        mask[i + 1] = False
+        cps, starts = _keep(cps, starts, mask)
+    return cps, starts
+
+
 def canonical(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points and row offsets of the common form of all rows at once."""
     lens, at, flat, ccc, keys, results, single = tables()
@@ -100,6 +125,8 @@ def canonical(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         cps = out.astype(np.uint32)
     else:
         cps = single[cps]
+    if ((cps >= 0x1161) & (cps < 0x11C3)).any():
+        cps, starts = _hangul(cps, starts)
     marks = ccc[cps]
     if marks.any():
         first = np.zeros(len(cps), bool)
@@ -128,11 +155,11 @@ def canonical(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        done = 0
-        for part in C.chunks(batch.column(1)):
+        done, kept = 0, batch.schema.names[:-1]
+        for part in C.chunks(batch.column(batch.num_columns - 1)):
             cps, _, starts = C.decode(*C.utf8(part))
             text = C.encode(*canonical(cps, starts), np.asarray(part.is_null()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), text], ["key", "canonical"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(done, len(part)) for i in range(len(kept))), text], [*kept, "canonical"])
             done += len(part)
 
 
@@ -146,36 +173,32 @@ def unify_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_batches, "key bigint, canonical string")
 
 
+def forms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, same, h, g): a hash of every text as it is and two of its canonical form; texts with nothing visible are left out."""
+    both = df.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("same"), F.col(text).cast("string").alias("text"))
+    out = both.mapInArrow(_batches, "key bigint, same bigint, canonical string").filter(F.col("canonical").rlike(r"\S"))
+    return out.select("key", "same", F.xxhash64("canonical").alias("h"), F.xxhash64(F.lit(1), "canonical").alias("g"))
+
+
 def same_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id_a, doc_id_b): rows with different texts of one canonical form, smaller key first.
 
     Texts with nothing visible and identical texts are no cases. Only hashes move: groups of one
-    text are dropped before the pairs are joined, and a hot group is split by the engine's skew
-    handling.
+    text are dropped before the pairs are joined. A form of more than HOT_ROWS rows is cut in as
+    many parts by its keys, each joined with the whole form, so no task holds all its pairs.
     """
-    both = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    forms = both.mapInArrow(_with_text, "key bigint, same bigint, canonical string")
-    seen = F.regexp_replace("canonical", r"\s", "")
-    rows = cut(forms.filter(F.length(seen) > 0).select("key", "same", F.xxhash64("canonical").alias("h"), F.xxhash64(F.lit(1), "canonical").alias("g")))
-    mixed = rows.groupBy("h", "g").agg(F.min("same").alias("_lo"), F.max("same").alias("_hi")).filter("_lo <> _hi").select("h", "g")
-    rows = rows.join(mixed, ["h", "g"], "left_semi")
-    a, b = rows.select("h", "g", F.col("key").alias("doc_id_a"), F.col("same").alias("_a")), rows.select("h", "g", F.col("key").alias("doc_id_b"), F.col("same").alias("_b"))
-    return a.join(b, ["h", "g"]).filter((F.col("_a") != F.col("_b")) & (F.col("doc_id_a") < F.col("doc_id_b"))).select("doc_id_a", "doc_id_b")
+    rows = cut(forms(df, key, text))
+    mixed = rows.groupBy("h", "g").agg(F.min("same").alias("_lo"), F.max("same").alias("_hi"), F.ceil(F.count(F.lit(1)) / HOT_ROWS).cast("int").alias("_parts")).filter("_lo <> _hi").select("h", "g", "_parts")
+    rows = cut(rows.join(mixed, ["h", "g"]))
+    a = rows.select("h", "g", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("_part"), F.col("key").alias("doc_id_a"), F.col("same").alias("_a"))
+    b = rows.select("h", "g", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("key").alias("doc_id_b"), F.col("same").alias("_b"))
+    return a.join(b, ["h", "g", "_part"]).filter((F.col("_a") != F.col("_b")) & (F.col("doc_id_a") < F.col("doc_id_b"))).select("doc_id_a", "doc_id_b")
 
 
-def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    for batch in batches:
-        done = 0
-        for part in C.chunks(batch.column(1)):
-            blob, off = C.utf8(part)
-            cps, _, starts = C.decode(blob, off)
-            text = C.encode(*canonical(cps, starts), np.asarray(part.is_null()))
-            at = off.tolist()
-            same = np.array([xxhash.xxh3_64_intdigest(blob[a:b]) for a, b in zip(at, at[1:])], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(same), text], ["key", "same", "canonical"])
-            done += len(part)
+def same_looking_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(class_id, rows, texts): every canonical form of different texts, named by its smallest key; no pair is expanded."""
+    texts = forms(df, key, text).groupBy("h", "g", "same").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    return texts.groupBy("h", "g").agg(F.min("key").alias("class_id"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("class_id", "rows", "texts")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,5 +211,10 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify_text(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_canonical": p10_canonical}
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical forms that several different texts of documents have: (class_id, rows, texts)."""
+    return same_looking_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p10_found": p10_found, "p10_canonical": p10_canonical, "p10_classes": p10_classes}
 SQL: dict[str, str] = {}

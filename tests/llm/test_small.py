@@ -140,6 +140,24 @@ def test_canonical_form_is_stable(t):
     assert canon(unicodedata.normalize("NFD", t)) == canon(unicodedata.normalize("NFC", t))
 
 
+def test_hangul_is_composed_within_a_row():
+    import unicodedata as U
+
+    for t in ("한국어 각 가", "\u1100\u1161\u11a8", "\u1100\u1100\u1161", "가\u11a8", "\u1161\u11a8", "ㄱㅏ", "각\u11a8"):
+        assert canon(t) == canon(U.normalize("NFD", t)) == U.normalize("NFC", t)
+    blob, off = C.utf8(pa.array(["\u1100", "\u1161", "가", "\u11a8"], pa.string()))
+    cps, _, starts = C.decode(blob, off)
+    assert C.encode(*lookalikes.canonical(cps, starts), np.zeros(4, bool)).to_pylist() == ["\u1100", "\u1161", "가", "\u11a8"]
+
+
+def test_hot_form_is_cut_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "HOT_ROWS", 3)
+    rows = [(i, ("paypal", "раураl", "pay\u200bpal")[i % 3]) for i in range(30)]
+    got = [tuple(r) for r in lookalikes.same_looking_pairs(frame(spark, rows), "id", "text").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(30) for j in range(i + 1, 30) if i % 3 != j % 3}
+    assert [tuple(r) for r in lookalikes.same_looking_classes(frame(spark, rows + [(90, "x"), (91, "x")]), "id", "text").collect()] == [(0, 30, 3)]
+
+
 def test_same_looking_pairs(spark):
     rows = [(1, "paypal"), (2, "раураl"), (3, "paypal"), (4, "pay​pal"), (5, "PayPal"), (6, None), (7, ""), (8, "​"), (9, "­"), (10, "x" * 3_000_000), (11, "x" * 3_000_000 + "​")]
     got = {tuple(r) for r in lookalikes.same_looking_pairs(frame(spark, rows), "id", "text").collect()}
