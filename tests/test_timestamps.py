@@ -4,6 +4,8 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import DATA
+
 from ctilake.operators.timezones import estimate_zones, normalise_timestamps, zone_scores
 
 U = dt.timezone.utc
@@ -83,3 +85,45 @@ def test_zone_is_estimated_from_ingestion_order(spark, sources):
     assert best == {"none": "America/New_York"}
     got = {r[0]: r[1] for r in normalise_timestamps(df, "k", "written", sources, "src", not_before=F.col("seen")).collect()}
     assert got[0] == us(2024, 3, 1, 5)
+
+
+def test_zone_is_estimated_from_sequence_order(spark, sources):
+    """Every third row bears a Unix time; the rows between are in Chicago time, winter and summer."""
+    chicago = [6, 5]  # hours behind UTC in January and in July
+    rows = []
+    for part, (month, behind) in enumerate(zip((1, 7), chicago)):
+        for i in range(300):
+            instant = us(2024, month, 1) + i * 1_800_000_000
+            local = dt.datetime.fromtimestamp(instant / 1e6 - behind * 3600, U)
+            rows.append((part * 1000 + i, str(instant // 1_000_000) if i % 3 == 0 else local.strftime("%Y-%m-%d %H:%M:%S"), "none"))
+    df = spark.createDataFrame(rows, "k bigint, written string, src string")
+    best = {r["source"]: r["zone"] for r in estimate_zones(zone_scores(df, "written", sources, "src", order=F.col("k"))).collect()}
+    assert best == {"none": "America/Chicago"}
+    got = {r[0]: r[1] for r in normalise_timestamps(df, "k", "written", sources, "src", order=F.col("k")).collect()}
+    assert got[1] == us(2024, 1, 1, 0, 30) and got[1001] == us(2024, 7, 1, 0, 30)
+
+
+def test_zone_is_estimated_from_load_times(spark, sources):
+    """Rows loaded within minutes of being written, which no zone west of Tokyo allows."""
+    rows = [(i, dt.datetime.fromtimestamp(us(2024, 3, 1) / 1e6 + i * 7000 + 9 * 3600, U).strftime("%Y-%m-%d %H:%M:%S"), "none", us(2024, 3, 1) + i * 7_000_000_000 + 60_000_000) for i in range(200)]
+    df = spark.createDataFrame(rows, "k bigint, written string, src string, seen bigint")
+    kw = {"not_after": F.col("seen"), "not_before": F.col("seen") - 600_000_000}
+    assert {r["zone"] for r in estimate_zones(zone_scores(df, "written", sources, "src", **kw)).collect()} == {"Asia/Tokyo"}
+
+
+def test_session_zone_changes_nothing(spark, sources):
+    from ctilake.functions.text import iso_timestamp
+    from ctilake.plans.timestamps import p4_found
+
+    found, iso = [], []
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found.append(p4_found(spark, DATA).agg(F.count(F.lit(1)), F.sum(F.xxhash64("tbl", "row_key", "utc_us").cast("decimal(38,0)"))).first())
+            texts = spark.createDataFrame([("2024-01-02",), ("2024-01-02T03:04:05",), ("2024-01-02 03:04:05.5",), ("2024-01-02T03:04:05+01:00",), ("x",)], "t string")
+            iso.append([r[0] for r in texts.select(F.unix_micros(iso_timestamp(F.col("t")))).collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found[0] == found[1] == found[2]
+    assert iso[0] == iso[1] == iso[2] == [us(2024, 1, 2), us(2024, 1, 2, 3, 4, 5), us(2024, 1, 2, 3, 4, 5) + 500_000, us(2024, 1, 2, 2, 4, 5), None]
