@@ -4,8 +4,10 @@ A swap of code pages replaces every letter by fixed symbols, so it is a substitu
 Which ciphers a source uses and what its clean text looks like are learned together by
 expectation-maximisation: the expectation step weighs every cipher, and the identity, for every
 short piece of text by the bigrams of what it deciphers to; the maximisation step re-estimates the
-bigrams and each source's cipher shares. The chosen cipher is then applied with ``str.translate``
-(or, where one letter became several symbols, by replacing those).
+bigrams and each source's cipher shares. Known pages are only the ciphers that are tried first: where
+they leave a source's text unexplained, a table from symbols to letters is learned for that source
+from scratch, see ``ciphers``. The chosen cipher is then applied with ``str.translate`` (or, where one
+letter became several symbols, by replacing those).
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctilake.llm.ciphers import tables_of
 from ctilake.sources.tables import cut, table
 
 ROUNDS = 3
-MOST_BIGRAMS = 500_000
+RAREST = 2e-7  # share of all pairs below which a pair is left to the smoothing, which bounds the table whatever the corpus is
+STRANGE = -5.5  # mean log probability a letter below which no reading explains a piece
+LEARNED, LEARNED_SHARE = "learned", 0.05
 EVIDENCE = 1.0  # log likelihood ratio, priors included, from which a field counts as garbled
 CLEAR = 1.5  # what a piece must reach to be evidence at all
 LETTERS = 3  # characters that a piece has at least to speak for a swap of single-byte pages
@@ -148,11 +154,11 @@ def readings(piece: str, bigrams: Bigrams) -> list[tuple[str, float, str]]:
 
 
 def _expect(model: tuple[dict[str, float], dict[str, dict[str, float]]] | None):
-    """Expected bigram and cipher counts of a batch of (source, piece, n), as (kind, name, count)."""
+    """Expected bigram and cipher counts of a batch of (source, piece, n), as (kind, source, name, n, held); ``held`` marks the sources of a bigram in 62 classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bigrams = Bigrams(model[0]) if model else None
-        pairs, uses, memo = Counter(), Counter(), {}
+        pairs, uses, memo, held = Counter(), Counter(), {}, defaultdict(int)
         for batch in batches:
             for source, piece, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 n = math.sqrt(n)  # a title repeated in a long thread is one witness, not hundreds
@@ -173,30 +179,56 @@ def _expect(model: tuple[dict[str, float], dict[str, dict[str, float]]] | None):
                     if w > 1e-4:
                         uses[source, name] += w * n
                         t = "\n" + text.lower()
+                        bit = 1 << xxhash.xxh3_64_intdigest(source) % 62
                         for a, b in zip(t, t[1:]):
                             pairs[a + b] += w * n
-        rows = [("p", "", k, v) for k, v in pairs.items()] + [("u", s, z, v) for (s, z), v in uses.items()]
-        columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[i], pa.string()) for i in range(3)] + [pa.array(columns[3], pa.float64())], ["kind", "source", "name", "n"])
+                            held[a + b] |= bit
+        rows = [("p", "", k, v, held[k]) for k, v in pairs.items()] + [("u", s, z, v, 0) for (s, z), v in uses.items()]
+        columns = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(columns[i], pa.string()) for i in range(3)] + [pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64())], ["kind", "source", "name", "n", "held"])
 
     return run
 
 
-def learn(fields: DataFrame) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """(bigrams, cipher shares by source) from a table (source, text), over all rows.
+def _strange(pairs: dict[str, float]):
+    """(source, a, b, n): neighbouring symbols of the pieces that neither a known cipher nor the identity explains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bigrams, memo = Bigrams(pairs), {}
+        for batch in batches:
+            counts: Counter = Counter()
+            for source, piece, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if piece not in memo:
+                    best = bigrams.score(piece) + max([0.0, *(llr for _, llr, _ in readings(piece, bigrams))])
+                    memo[piece] = best < STRANGE * len(piece) and all(ord(c) < 0x3000 for c in piece)
+                if memo[piece]:
+                    t = piece if piece[:1].isascii() and piece[-1:].isascii() else f"\n{piece}\n"
+                    t = "".join(c.lower() if c.isascii() else c for c in t)
+                    for a, b in zip(t, t[1:]):
+                        counts[source, a, b] += n
+            columns = list(zip(*((s, a, b, float(n)) for (s, a, b), n in counts.items()))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[i], pa.string()) for i in range(3)] + [pa.array(columns[3], pa.float64())], ["source", "a", "b", "n"])
+
+    return run
+
+
+def learn(fields: DataFrame) -> tuple[dict[str, float], dict[str, dict[str, float]], dict[str, dict[int, str]], dict[str, float]]:
+    """(bigrams, cipher shares by source, learned tables by source, bigrams of several sources) from a table (source, text), over all rows.
 
     Pieces are counted before anything leaves the JVM; every round is one pass over that table of
-    distinct pieces. The driver holds the most frequent MOST_BIGRAMS pairs at most, and the shares
-    of each source.
+    distinct pieces. The driver holds the pairs of a share of RAREST at least, the shares of each
+    source, and a table of symbols for the sources that have one; none of them grows with the rows.
     """
     pieces = fields.select("source", F.explode(F.regexp_extract_all("text", F.lit(f"({PIECE})"), F.lit(1))).alias("piece"))
     pieces = cut(pieces.groupBy("source", "piece").agg(F.count(F.lit(1)).alias("n")))
     model = None
     for _ in range(ROUNDS):
-        counts = cut(pieces.mapInArrow(_expect(model), "kind string, source string, name string, n double").groupBy("kind", "source", "name").agg(F.sum("n").alias("n")))
-        pairs = {r[0]: r[1] for r in counts.filter("kind = 'p'").select("name", "n").orderBy(F.desc("n"), "name").limit(MOST_BIGRAMS).toLocalIterator()}
+        counts = cut(pieces.mapInArrow(_expect(model), "kind string, source string, name string, n double, held bigint").groupBy("kind", "source", "name").agg(F.sum("n").alias("n"), F.bit_or("held").alias("held")))
+        all_pairs = counts.filter("kind = 'p'").agg(F.sum("n")).first()[0] or 0.0
+        kept = [tuple(r) for r in counts.filter((F.col("kind") == "p") & (F.col("n") >= RAREST * all_pairs)).select("name", "n", F.bit_count("held")).toLocalIterator()]
+        pairs = {k: n for k, n, _ in kept}
         uses: dict[str, dict[str, float]] = defaultdict(dict)
-        for r in counts.filter("kind = 'u'").select("source", "name", "n").orderBy(F.desc("n")).limit(MOST_BIGRAMS).collect():
+        for r in counts.filter("kind = 'u'").select("source", "name", "n").collect():
             uses[r[0]][r[1]] = r[2]
         overall: Counter = Counter()
         for u in uses.values():
@@ -207,14 +239,20 @@ def learn(fields: DataFrame) -> tuple[dict[str, float], dict[str, dict[str, floa
             size = sum(u.values()) + PRIOR_PIECES
             shares[s] = {z: max(LEAST_SHARE, (u.get(z, 0) + PRIOR_PIECES * n / total) / size) for z, n in overall.items() if z}
         model = pairs, shares
-    return model
+    # what a source alone writes may be its own cipher: it is measured by what several sources write
+    common = {k: n for k, n, sources in kept if sources > 1} if max((x for *_, x in kept), default=0) > 1 else pairs
+    strange = pieces.mapInArrow(_strange(common), "source string, a string, b string, n double").groupBy("source", "a", "b").agg(F.sum("n").alias("n"))
+    tables: dict[str, dict[int, str]] = defaultdict(dict)
+    for source, symbol, letter in strange.groupBy("source").applyInPandas(tables_of(common), "source string, symbol string, letter string").collect():
+        tables[source][ord(symbol)] = letter
+    return *model, dict(tables), common if tables else {}
 
 
 class Detector:
     """Judges and restores fields with a learned model."""
 
-    def __init__(self, model: tuple[dict[str, float], dict[str, dict[str, float]]]):
-        self.bigrams, self.shares = Bigrams(model[0]), model[1]
+    def __init__(self, model: tuple[dict[str, float], dict[str, dict[str, float]], dict[str, dict[int, str]], dict[str, float]]):
+        self.bigrams, self.shares, self.tables, self.common = Bigrams(model[0]), model[1], model[2], Bigrams(model[3])
         self.memo: dict[str, list[tuple[str, float, str]]] = {}
 
     def of(self, piece: str) -> list[tuple[str, float, str]]:
@@ -231,13 +269,16 @@ class Detector:
             for name, llr, _ in self.of(piece):
                 if llr > CLEAR:
                     sums[name] += llr
+            if source in self.tables:
+                if (llr := self.common.score(piece.translate(self.tables[source])) - self.common.score(piece)) > CLEAR:
+                    sums[LEARNED] += llr
         share = self.shares.get(source, {})
         utf8 = sum(v for z, v in share.items() if z.startswith("utf-8"))  # these pages agree on most sequences and share their weight
-        return max(((x + math.log(max(LEAST_SHARE, utf8 if z.startswith("utf-8") else share.get(z, 0))), z) for z, x in sums.items()), default=(-math.inf, ""))
+        return max(((x + math.log(max(LEAST_SHARE, utf8 if z.startswith("utf-8") else LEARNED_SHARE if z == LEARNED else share.get(z, 0))), z) for z, x in sums.items()), default=(-math.inf, ""))
 
-    def restore(self, name: str, text: str) -> str:
+    def restore(self, name: str, source: str, text: str) -> str:
         """``text`` with every token deciphered that reads better so."""
-        decipher, score = ciphers()[name], self.bigrams.score
+        decipher, score = (lambda t: t.translate(self.tables[source])) if name == LEARNED else ciphers()[name], (self.common if name == LEARNED else self.bigrams).score
 
         def one(m: re.Match) -> str:
             t = m.group()
@@ -262,7 +303,7 @@ def _judge(model, model_id: int, restore: bool):
                 evidence, name = detector.judge(source, text)
                 if evidence > EVIDENCE or LOST.search(text):
                     cipher = name if evidence > EVIDENCE else ""
-                    out.append((key, field, cipher or None, detector.restore(cipher, text) if restore and cipher else None))
+                    out.append((key, field, cipher or None, detector.restore(cipher, source, text) if restore and cipher else None))
             columns = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(columns[i], pa.string()) for i in range(1, 4)], ["key", "field", "cipher", "restored"])
 

@@ -339,6 +339,24 @@ def test_garbled_fields(spark):
     assert encoding.garbled_fields(df.limit(0), "id", ["body", "title"], "src").count() == 0
 
 
+def test_unknown_page_is_learned(spark):
+    """Russian whose letters one source shows as symbols in an order that no code page has."""
+    import duckdb
+
+    texts = [r[0] for r in duckdb.connect().sql("select text from '/root/testdata/sf0.01/forum_posts.parquet' where regexp_matches(text, '[а-я]{5}') order by post_key").fetchall()]
+    alphabet = [chr(c) for c in range(0x430, 0x450)] + ["ё"]
+    symbols = [chr(0xA1 + i) for i in range(len(alphabet))]
+    random.Random(5).shuffle(symbols)
+    page = {ord(c): s for c, s in zip(alphabet, symbols)}
+    lower = [" ".join(re.findall(r"[а-яё]+", t.lower())) for t in texts]
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)] + [(10_000 + i, t.translate(page), "odd") for i, t in enumerate(lower[:80])]
+    df = frame(spark, rows, "id bigint, body string, src string")
+    got = {r["key"]: r for r in encoding.garbled_fields(df, "id", ["body"], "src").collect() if r["key"] >= 10_000}
+    assert len(got) >= 78 and {r["cipher"] for r in got.values()} == {encoding.LEARNED}
+    same = sum(a == b for i, t in enumerate(lower[:80]) if 10_000 + i in got for a, b in zip(t, got[10_000 + i]["restored"]))
+    assert same >= 0.97 * sum(map(len, lower[:80]))
+
+
 # --- problem 7 -------------------------------------------------------------------------------------------------------
 
 SAID = {
