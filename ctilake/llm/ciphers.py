@@ -13,6 +13,7 @@ import pandas as pd
 ROUNDS, RESTARTS, SWEEPS = 80, 6, 12
 LEAST_PAIRS = 400  # neighbouring symbols of a source before anything is learned from them
 LEAST_GAIN = 1.5  # log likelihood a pair that a learned table must win over the text as it stands
+HOPELESS = -4.0  # the same after a first attempt: less is no text of a known language under any table
 LEVEL = -3.0  # log probability of a letter after the one before that deciphered text must reach on average, as clean text does
 EDGE = "\n"
 
@@ -61,10 +62,13 @@ def learn_table(language: Language, counts: dict[tuple[str, str], float]) -> tup
             expected = theta * (language.joint @ theta @ r.T + language.joint.T @ theta @ r)
             theta[fixed:, fixed:] = expected[fixed:, fixed:] + 1e-6
             theta[fixed:] /= theta[fixed:].sum(1, keepdims=True)
-        to = _settle(language, n, np.argmax(theta * language.share[:, None], axis=0), fixed, 1)
+        to = _settle(language, n, np.argmax(theta * language.share[:, None], axis=0), fixed, 1, False)
         score = (n * language.log[np.ix_(to, to)]).sum()
         if score > most:
             best, most = to, score
+    if _level(language, n, best) < HOPELESS:
+        return {}, 0.0, -np.inf
+    best = _settle(language, n, best, fixed, 1)
     best = _settle(language, n, best, fixed, 2)  # now a letter may have a small and a capital form
     most = (n * language.log[np.ix_(best, best)]).sum()
     # as it stands, a symbol is a letter of its own where the language knows it, else it is nothing the language has
@@ -72,8 +76,12 @@ def learn_table(language: Language, counts: dict[tuple[str, str], float]) -> tup
     as_is = np.array([known.get(c.lower(), -1) for c in every])
     log = np.where((as_is[:, None] >= 0) & (as_is[None, :] >= 0), language.log[np.ix_(as_is, as_is)], language.log.min())
     gain = (most - (n * log).sum()) / max(n.sum(), 1.0)
-    level = (n * (language.log[np.ix_(best, best)] - np.log(language.share[best] + 1e-12)[:, None])).sum() / max(n.sum(), 1.0)
-    return _cased(language, every, best, seen, fixed), float(gain), float(level)
+    return _cased(language, every, best, seen, fixed), float(gain), _level(language, n, best)
+
+
+def _level(language: Language, n: np.ndarray, to: np.ndarray) -> float:
+    """Mean log probability of a letter after the one before it."""
+    return float((n * (language.log[np.ix_(to, to)] - np.log(language.share[to] + 1e-12)[:, None])).sum() / max(n.sum(), 1.0))
 
 
 def _start(language: Language, seen: np.ndarray, rnd: np.random.Generator, fixed: int) -> np.ndarray:
@@ -86,7 +94,7 @@ def _start(language: Language, seen: np.ndarray, rnd: np.random.Generator, fixed
     return theta
 
 
-def _settle(language: Language, n: np.ndarray, to: np.ndarray, fixed: int, alike: int) -> np.ndarray:
+def _settle(language: Language, n: np.ndarray, to: np.ndarray, fixed: int, alike: int, swaps: bool = True) -> np.ndarray:
     """Change one symbol's letter, or exchange those of two, as long as the likelihood grows; at most ``alike`` symbols share a letter while there are letters left."""
     to, log = to.copy(), language.log
     used = np.bincount(to[fixed:], minlength=len(language.states))
@@ -114,7 +122,7 @@ def _settle(language: Language, n: np.ndarray, to: np.ndarray, fixed: int, alike
                 to[c] = open_[np.argmax(s[open_])]
                 used[to[c]] += 1
                 changed = True
-            for d in order if alike == 1 else ():
+            for d in order if alike == 1 and swaps else ():
                 if d > c and to[d] != to[c]:
                     other = to.copy()
                     other[c], other[d] = to[d], to[c]

@@ -242,6 +242,7 @@ def learn(fields: DataFrame) -> tuple[dict[str, float], dict[str, dict[str, floa
     # what a source alone writes may be its own cipher: it is measured by what several sources write
     common = {k: n for k, n, sources in kept if sources > 1} if max((x for *_, x in kept), default=0) > 1 else pairs
     strange = pieces.mapInArrow(_strange(common), "source string, a string, b string, n double").groupBy("source", "a", "b").agg(F.sum("n").alias("n"))
+    strange = strange.repartition(fields.sparkSession.sparkContext.defaultParallelism, "source")  # small tables, much work: one task must not get them all
     tables: dict[str, dict[int, str]] = defaultdict(dict)
     for source, symbol, letter in strange.groupBy("source").applyInPandas(tables_of(common), "source string, symbol string, letter string").collect():
         tables[source][ord(symbol)] = letter
