@@ -15,19 +15,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctilake.sources.tables import cut, table
+from ctilake.sources.tables import broadcast_if_small, cut, table
 
 SIMILARITY = 0.8
-BANDS, ROWS = 64, 8  # a pair at 0.8 is missed with probability (1 - 0.8**8)**64 = 8e-6, one at 0.85 with 1e-9
-SKETCH = 256
-LEAST_AGREEMENT = 200  # of SKETCH bits; a pair at 0.8 has 230 on average with a deviation of 4.8
+BANDS, ROWS = 48, 7
+LEAST_BANDS = 2  # that a candidate shares; a pair at 0.8 shares 10 on average and fewer than two with probability 2e-4, one at 0.85 with 2e-7
+BLOCK = 84  # hash functions taken at once, so that their values stay in the cache
 _SEED = np.random.default_rng(20260101)
 _A, _B = _SEED.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * 2 + 1, _SEED.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 
 
 def normal(text: Column) -> Column:
     """Lower case, each run of white space as one blank."""
-    return F.regexp_replace(F.lower(text), r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+", " ")
+    blank = r"\s\p{Z}\x{1c}-\x{1f}\x{85}"
+    return F.regexp_replace(F.lower(text), rf"[{blank}&&[^ ]][{blank}]*| [{blank}]+", " ")  # a single blank stays and costs no replacement
 
 
 def canonical(text: Column) -> Column:
@@ -48,23 +49,22 @@ def signature(text: str) -> np.ndarray:
     x = _mix(np.unique(grams)).astype(np.uint32)
     out = np.full(len(_A), 0xFFFFFFFF, np.uint32)
     for part in np.array_split(x, -(-len(x) // 4096)):
-        out = np.minimum(out, ((part[:, None] ^ _B) * _A).min(0))
+        h = np.empty((BLOCK, len(part)), np.uint32)
+        for i in range(0, len(_A), BLOCK):
+            np.bitwise_xor(part[None, :], _B[i : i + BLOCK, None], out=h)
+            np.multiply(h, _A[i : i + BLOCK, None], out=h)
+            np.minimum(out[i : i + BLOCK], h.min(1), out=out[i : i + BLOCK])
     return out
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    weights = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(ROWS)], np.uint64)
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            texts = batch.column(1).slice(at, 1000).to_pylist()
-            s = np.stack([signature(t) for t in texts])
-            bands = _mix(s.reshape(len(s), BANDS, ROWS).astype(np.uint64) @ np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(ROWS)], np.uint64))
-            bits = np.packbits((s[:, :SKETCH] & 1).astype(np.uint8), axis=1).view(np.int64)
-            offsets = pa.array(np.arange(0, len(s) * BANDS + 1, BANDS, dtype=np.int32))
-            sketch_offsets = pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, 1000), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())), pa.ListArray.from_arrays(sketch_offsets, pa.array(bits.ravel()))],
-                ["text_class", "bands", "sketch"],
-            )
+            s = np.stack([signature(t) for t in batch.column(1).slice(at, 1000).to_pylist()])
+            # the band's number is mixed in, so a key stands for a band and its values
+            keys = _mix(s.reshape(len(s), BANDS, ROWS).astype(np.uint64) @ weights + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).slice(at, 1000).to_numpy(), BANDS)), pa.array(keys.view(np.int64).ravel())], ["text_class", "h"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,28 +88,23 @@ def links(evaluation: DataFrame, training: DataFrame) -> tuple[DataFrame, DataFr
     """From two tables (id, text): (members (side, id, text_class), pairs (class_e, class_t)).
 
     Texts that are the same after normalisation are one class, found by aggregation on the map
-    side; classes and not rows are compared, so copies cost nothing. Band keys of both sides are
-    joined, a sketch of 256 bits drops chance candidates before any text moves, and the rest are
-    verified on whole texts. Blank and null texts take no part.
+    side; classes and not rows are compared, so copies cost nothing. Texts are signed where they are
+    grouped and only band keys are shuffled. Classes that share at least LEAST_BANDS keys are
+    candidates: chance pairs share none or one, so no text moves for them. The rest are verified on
+    whole texts. Members are given for the classes of candidates only. Blank and null texts take no part.
     """
-    e, t = evaluation.select(F.lit(0).alias("side"), "id", normal(F.col("text")).alias("text")), training.select(F.lit(1).alias("side"), "id", normal(F.col("text")).alias("text"))
-    rows = e.unionByName(t).filter(F.trim("text") != "").withColumn("c1", F.xxhash64("text")).withColumn("c2", F.xxhash64(F.lit(5), "text"))
-    classes = rows.groupBy("c1", "c2").agg(F.first("text").alias("text"), F.max(F.col("side") == 0).alias("in_e"), F.max(F.col("side") == 1).alias("in_t"))
-    classes = cut(classes.select(F.xxhash64("c1", "c2").alias("text_class"), "c1", "c2", "text", "in_e", "in_t"))
-    members = rows.select("side", "id", F.xxhash64("c1", "c2").alias("text_class"))
-    signed = cut(classes.select("text_class", "text").mapInArrow(_sign, "text_class bigint, bands array<bigint>, sketch array<bigint>").join(classes.select("text_class", "in_e", "in_t"), "text_class"))
-    keyed = signed.select("text_class", "in_e", "in_t", F.posexplode("bands").alias("band", "h"))
-    left = keyed.filter("in_e").select("band", "h", F.col("text_class").alias("class_e"))
-    right = keyed.filter("in_t").select("band", "h", F.col("text_class").alias("class_t"))
-    candidates = left.join(right, ["band", "h"]).filter("class_e <> class_t").select("class_e", "class_t").distinct()
-    sketch = lambda side: signed.select(F.col("text_class").alias(f"class_{side}"), F.col("sketch").alias(f"sketch_{side}"))
-    near = candidates.join(sketch("e"), "class_e").join(sketch("t"), "class_t")
-    same = F.aggregate(F.zip_with("sketch_e", "sketch_t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = near.filter(SKETCH - same >= LEAST_AGREEMENT).select("class_e", "class_t")
-    text = lambda side: classes.select(F.col("text_class").alias(f"class_{side}"), F.col("text").alias(f"text_{side}"))
-    verified = near.join(text("t"), "class_t").join(text("e"), "class_e").select("class_e", "class_t", "text_e", "text_t").mapInArrow(_verify, "class_e bigint, class_t bigint")
-    exact = classes.filter("in_e and in_t").select(F.col("text_class").alias("class_e"), F.col("text_class").alias("class_t"))
-    return members, verified.unionByName(exact)
+    side = lambda df, n: df.select(F.lit(n).alias("side"), "id", F.explode(F.array(normal(F.col("text")))).alias("text"))  # noqa: E731  a generator, so that no filter is pushed below it and reads the text twice
+    rows = side(evaluation, 0).unionByName(side(training, 1)).filter("text not in ('', ' ')").withColumn("text_class", F.xxhash64(F.xxhash64("text"), F.xxhash64(F.lit(5), "text")))
+    classes = rows.groupBy("text_class").agg(F.first("text").alias("text"), F.bit_or(F.col("side") + 1).alias("sides"))  # 1 evaluation, 2 training: one column, so both sides read one exchange
+    signed = lambda name, bit: classes.filter(F.col("sides").bitwiseAND(F.lit(bit)) > 0).select("text_class", "text").mapInArrow(_sign, "text_class bigint, h bigint").withColumnRenamed("text_class", f"class_{name}")
+    shared = signed("e", 1).join(signed("t", 2), "h").groupBy("class_e", "class_t").agg(F.count(F.lit(1)).alias("n"))
+    candidates = cut(shared.filter(F.col("n") >= LEAST_BANDS).select("class_e", "class_t"))  # a text on both sides shares all keys with itself
+    wanted = candidates.select(F.col("class_e").alias("text_class")).union(candidates.select("class_t")).distinct()
+    held = cut(rows.join(broadcast_if_small(wanted), "text_class", "left_semi"))
+    texts = held.groupBy("text_class").agg(F.first("text").alias("text"))
+    text = lambda name: texts.select(F.col("text_class").alias(f"class_{name}"), F.col("text").alias(f"text_{name}"))
+    verified = candidates.filter("class_e <> class_t").join(text("t"), "class_t").join(text("e"), "class_e").select("class_e", "class_t", "text_e", "text_t").mapInArrow(_verify, "class_e bigint, class_t bigint")
+    return held.select("side", "id", "text_class"), cut(verified.unionByName(candidates.filter("class_e = class_t")))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +119,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pairs = links(*_sides(spark, sf_dir))
     e = members.filter("side = 0").select(F.col("id").alias("e"), F.col("text_class").alias("class_e"))
     t = members.filter("side = 1").select(F.col("id").alias("t"), F.col("text_class").alias("class_t"))
-    found = pairs.join(e, "class_e").join(t, "class_t")
+    pairs = broadcast_if_small(pairs)
+    found = e.join(pairs, "class_e").join(t, "class_t")
     return found.select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"))
 
 
@@ -161,6 +157,13 @@ k as (select id, e, t from r where trim(t) <> ''), g as (select distinct id, e,
 i as (select x.id as a, y.id as b, count(*) as i from g x join g y on x.g = y.g and x.e and not y.e group by 1, 2)
 select least(a, b) as id_a, greatest(a, b) as id_b from i join n x on a = x.id join n y on b = y.id where 5 * i >= 4 * (x.n + y.n - i)
 union select least(x.id, y.id), greatest(x.id, y.id) from k x join k y on x.t = y.t and x.e and not y.e""",
+    "p2_by_split_and_source": r"""
+with r as (select rec_id as id, _split <> 'train' as e, regexp_replace(lower(text), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g') as t from task2_exploit_type union all select pair_id, false, regexp_replace(lower(exploit_text), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g') from ev_pairs),
+k as (select id, e, t from r where trim(t) <> ''), g as (select distinct id, e, unnest([substr(t, i, 3) for i in range(1, length(t) - 1)]) as g from k), n as (select id, count(*) as n from g group by 1),
+i as (select x.id as a, y.id as b, count(*) as i from g x join g y on x.g = y.g and x.e and not y.e group by 1, 2),
+m as (select a, b from i join n x on a = x.id join n y on b = y.id where 5 * i >= 4 * (x.n + y.n - i) union select x.id, y.id from k x join k y on x.t = y.t and x.e and not y.e),
+c as (select a, count(*) as n from m group by 1)
+select _split as split, source, count(*) as records, count(n) as overlapping, coalesce(sum(n), 0)::bigint as copies from task2_exploit_type left join c on rec_id = a where _split <> 'train' group by 1, 2""",
     "p2_exact_by_split_and_source": r"""
 with c as (select rec_id as id, _split as split, source, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as c from task2_exploit_type),
 t as (select c from c where split = 'train' and c <> '' union all select regexp_replace(lower(exploit_text), '[^\p{L}\p{N}]+', '', 'g') from ev_pairs),

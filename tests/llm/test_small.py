@@ -185,6 +185,15 @@ def test_copies(spark):
     assert duplicates.copies(df.limit(0), "id", "text").count() == 0
 
 
+def test_more_rows_than_one_filter_holds(spark, monkeypatch):
+    rows = [(i, f"text number {i % 700}" if i % 3 else f"a: {i % 50}\nb: {i % 7}") for i in range(3000)]
+    df = frame(spark, rows)
+    want = {tuple(r) for r in duplicates.copies(df, "id", "text").collect()}
+    monkeypatch.setattr(duplicates, "MOST_BITS", duplicates.SEGMENT_BITS)
+    monkeypatch.setattr(duplicates, "BITS_A_ROW", 2000)
+    assert {tuple(r) for r in duplicates.copies(df, "id", "text").collect()} == want and len(want) > 1900
+
+
 def test_filter_loses_no_repeat(spark):
     rnd = random.Random(4)
     values = [rnd.randint(-(2**63), 2**63 - 1) for _ in range(4000)]
@@ -226,6 +235,15 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(e.limit(0), "item_id", "t", frame(spark, posts, "k bigint, body string"), "k", "body").count() == 0
 
 
+def test_held_out_texts_in_several_shards(spark, monkeypatch):
+    rnd = random.Random(7)
+    items = [(i, " ".join(f"v{rnd.randrange(900)}" for _ in range(40))) for i in range(40)]
+    posts = [(1000 + k, "so " + " ".join(items[k % 40][1].split()[k % 20 : k % 20 + 9 + k % 9]) + " end") for k in range(90)]
+    monkeypatch.setattr(leakage, "SHARD_CHARS", 2000)
+    got = leakage.leaks(frame(spark, items, "item_id bigint, t string"), "item_id", "t", frame(spark, posts, "k bigint, body string"), "k", "body").collect()
+    assert {(r["item_id"], r["post_key"]) for r in got} == brute_leaks(items, posts) and len(got) > 20
+
+
 # --- problem 2 -------------------------------------------------------------------------------------------------------
 
 
