@@ -65,3 +65,31 @@ def bootstrap_mean(rows: DataFrame, group: str, unit: str, value: str, replicate
     means = picks.join(k.select("grp", "i", "v"), ["grp", "i"]).groupBy("grp", "rep").agg((F.sum("v") / n_rows()).alias("m"))
     ends = means.groupBy("grp").agg(F.round(F.percentile("m", 0.025), 4).alias("low"), F.round(F.percentile("m", 0.975), 4).alias("high"))
     return k.groupBy("grp").agg(F.round(F.sum("v") / n_rows(), 4).alias("mean")).join(ends, "grp")
+
+
+def f1_summary(rows: DataFrame, by: list[str], label: str, predicted: str) -> DataFrame:
+    """(by, n, accuracy, macro_f1, weighted_f1) from one count of label pairs; classes of either side count in the macro mean."""
+    c = rows.groupBy(*by, F.col(label).alias("y"), F.col(predicted).alias("p")).agg(n_rows().alias("n"))
+    zero = F.lit(0).cast("bigint")
+    sides = c.select(*by, F.explode(F.array(F.struct(F.col("y").alias("class"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("support"), zero.alias("guessed")), F.struct(F.col("p").alias("class"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("guessed")))).alias("s"))
+    m = sides.groupBy(*by, "s.class").agg(*[F.sum(f"s.{x}").alias(x) for x in ("tp", "support", "guessed")]).withColumn("f1", _ratio(2.0 * F.col("tp"), F.col("support") + F.col("guessed")))
+    return m.groupBy(*by).agg(F.sum("support").alias("n"), F.round(_ratio(F.sum("tp"), F.sum("support")), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(_ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")), 6).alias("weighted_f1"))
+
+
+def bootstrap_macro_f1(rows: DataFrame, key: str, label: str, predicted: str, replicates: int) -> DataFrame:
+    """(n, macro_f1, low, high): macro F1 over the true classes and its 95 % interval by resampling records.
+
+    Draws come from a hash of replicate and place. Every replicate draws as many records as there
+    are, so this is for evaluation sets; the draws are counted to label pairs where they are made.
+    """
+    k = rows.select(F.col(key).alias("k"), F.col(label).alias("y"), F.col(predicted).alias("p")).withColumn("i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("k"))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("f1"), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    picks = k.select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("rep", (1 + draw % F.col("n")).cast("int").alias("i"))
+    cells = picks.join(k.select("i", "y", "p"), "i").groupBy("rep", "y", "p").agg(n_rows().alias("c"))
+    every = cells.unionByName(k.groupBy(F.lit(-1).alias("rep"), "y", "p").agg(n_rows().alias("c")))
+    classes = k.select("y").distinct().count()
+    true = every.groupBy("rep", F.col("y").alias("class")).agg(F.sum("c").alias("support"), F.sum(F.when(F.col("y") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"))
+    guessed = every.groupBy("rep", F.col("p").alias("class")).agg(F.sum("c").alias("guessed"))
+    f1 = true.join(guessed, ["rep", "class"], "left").select("rep", (2.0 * F.col("tp") / (F.col("support") + F.coalesce("guessed", F.lit(0)))).alias("f1")).groupBy("rep").agg((F.sum("f1") / max(1, classes)).alias("m"))
+    ends = f1.agg(F.round(F.max(F.when(F.col("rep") < 0, F.col("m"))), 6).alias("macro_f1"), F.round(F.percentile(F.when(F.col("rep") >= 0, F.col("m")), 0.025), 6).alias("low"), F.round(F.percentile(F.when(F.col("rep") >= 0, F.col("m")), 0.975), 6).alias("high"))
+    return k.agg(n_rows().alias("n")).crossJoin(F.broadcast(ends))

@@ -25,6 +25,23 @@ def balanced(df: DataFrame, strata: list[str], label: str, key: str, seed: int =
     return df.withColumn("_rn", F.row_number().over(w)).join(sizes, strata).filter(F.col("_rn") <= F.col("_m")).drop("_rn", "_m")
 
 
+def top_of_strata(df: DataFrame, sizes: DataFrame, strata: list[str], parts: list[str], key: str, most_column: str, most: int, seed: int = 42) -> DataFrame:
+    """Of every part of the strata in ``sizes`` as many rows in hash order as its column says, which is at most ``most``.
+
+    The constant bound is applied first and below the shuffle, so a hot part moves ``most`` rows a partition.
+    """
+    w = W.partitionBy(*strata, *parts).orderBy(*hash_order(key, seed))
+    ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
+    return ranked.join(sizes, strata).filter(F.col("_rn") <= F.col(most_column)).drop("_rn", most_column)
+
+
+def per_stratum_counts(df: DataFrame, limits: DataFrame, stratum: str, label: str, key: str, seed: int = 42) -> DataFrame:
+    """All rows with label 1 and as many others of every stratum, in hash order, as ``limits`` (stratum, _m) allows."""
+    w = W.partitionBy(stratum, label).orderBy(*hash_order(key, seed))
+    ranked = df.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(limits), stratum)
+    return ranked.filter((F.col(label) == 1) | (F.col("_rn") <= F.col("_m"))).drop("_rn", "_m")
+
+
 def round_robin(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows taken in turn from the strata in name order; ``turn`` is the round a row was taken in."""
     w = W.partitionBy(stratum).orderBy(*hash_order(key, seed))

@@ -129,11 +129,22 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_year_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by layer, one column for every third year from 2010 to 2025, as log10(n + 1). ``source_year_counts`` has every year."""
-    years = list(range(2010, 2026, 3))
-    docs = table(spark, sf_dir, "documents").select("source_layer", F.year("published_at").alias("y"))
-    out = docs.groupBy("source_layer").pivot("y", years).agg(n_rows())
-    return out.select("source_layer", *[F.round(F.log10(F.coalesce(F.col(str(y)), F.lit(0)) + 1.0), 6).alias(f"y{y}") for y in years])
+    """Documents by source, one entry for every year that the data hold, in order, as ``year=log10(n + 1)``.
+
+    A map in place of columns, so that the result's form does not depend on the years; undated documents stand under 0.
+    """
+    n = table(spark, sf_dir, "documents").groupBy("source", F.coalesce(F.year("published_at"), F.lit(0)).alias("y")).agg(n_rows().alias("n"))
+    every = n.select("y").distinct()
+    cells = n.select("source").distinct().crossJoin(F.broadcast(every)).join(n, ["source", "y"], "left")
+    one = F.concat(F.col("y").cast("string"), F.lit("="), F.format_string("%.6f", F.log10(F.coalesce("n", F.lit(0)) + 1.0)))
+    return cells.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(one)), " ").alias("log_counts"))
+
+
+def layer_year_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every source spread evenly over its years and summed by layer and year."""
+    spread = uniform_year_spread(spark, sf_dir)
+    layers = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("source_layer").alias("source_layer"))
+    return spread.join(layers, "source").groupBy("source_layer", "year").agg(F.sum("share").alias("n"))
 
 
 def source_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,12 +181,12 @@ def tpch_priority_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("n_name", "year").agg(F.sum("v").alias("revenue_e4"), n_rows().alias("orders"))
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup_keep_first, dedup_source_stats, dedup_priority, dedup_composite_key, corpus_counters, layer_forum_grouping_sets, token_histogram, year_histogram, upper_median_tokens, source_stats_full_outer, category_rollup, raw_corpus_audit, quality_by_split, top_sources, source_year_pivot, source_year_counts, uniform_year_spread, integrity_report, tpch_priority_join)}
+QUERIES = {f.__name__: f for f in (exact_dedup_keep_first, dedup_source_stats, dedup_priority, dedup_composite_key, corpus_counters, layer_forum_grouping_sets, token_histogram, year_histogram, upper_median_tokens, source_stats_full_outer, category_rollup, raw_corpus_audit, quality_by_split, top_sources, source_year_pivot, layer_year_pivot, source_year_counts, uniform_year_spread, integrity_report, tpch_priority_join)}
 
 NORMAL = r"trim(regexp_replace(lower({}), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 _n = lambda c: NORMAL.format(c)
 _tok = lambda c: f"len(regexp_extract_all({c}, '[A-Za-z0-9_./:-]+'))"
-_cti = " + ".join(f"(case when contains(lower(t), '{k}') then {w} else 0 end)" for w, ks in X.CTI_KEYWORDS for k in ks.split("|"))
+_cti = " + ".join(f"(case when contains(lower(t), '{k}') then {w} else 0 end)" for w, ks in X.CTI_KEYWORDS for k in ks)
 SQL = {
     "exact_dedup_keep_first": f"with r as (select post_key, {_n('text')} n from forum_posts) select sha256(n) as fp, min(post_key) as post_key, count(*) as n_rows from r where n <> '' group by 1",
     "dedup_source_stats": f"""with r as (select post_key, source_dataset, nullif({_n("coalesce(text, '')")}, '') as n from forum_posts),
@@ -204,7 +215,8 @@ select coalesce(d.source, i.source) as source, coalesce(docs, 0) as docs, coales
     "quality_by_split": rf"""with r as (select _split as split, label, coalesce(text, '') as t from task2_exploit_type), d as (select split, sum(k)::bigint as duplicate_rows from (select split, count(*) - 1 as k from r group by split, {_n('t')}) group by 1)
 select r.split, count(*) as n_rows, count(distinct label) as labels, count(*) filter (len(regexp_extract_all(t, '[^ \t\n\r\f\v]+')) < 8) as short_rows, count(*) filter (length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) > 10) as non_ascii_rows, any_value(duplicate_rows) as duplicate_rows from r join d on r.split = d.split group by 1""",
     "top_sources": "select source, count(*) as n from documents group by 1 order by n desc, source limit 25",
-    "source_year_pivot": "select source_layer, " + ", ".join(f"round(log10(count(*) filter (year(published_at) = {y}) + 1.0::double), 6) as y{y}" for y in range(2010, 2026, 3)) + " from documents group by 1",
+    "source_year_pivot": "with n as (select source, coalesce(year(published_at), 0) as y, count(*) as n from documents group by 1, 2), c as (select s.source, e.y, coalesce(n.n, 0) as n from (select distinct source from n) s cross join (select distinct y from n) e left join n on n.source = s.source and n.y = e.y) select source, string_agg(y::varchar || '=' || printf('%.6f', log10(n + 1.0::double)), ' ' order by y::varchar) as log_counts from c group by 1",
+    "layer_year_pivot": "with s as (select source, min(source_layer) as source_layer, count(*) as n, year(min(published_at)) as y0, year(max(published_at)) as y1 from documents group by 1) select source_layer, year::int as year, sum(n // (y1 - y0 + 1) + case when year - y0 < n % (y1 - y0 + 1) then 1 else 0 end)::bigint as n from s, unnest(range(y0, y1 + 1)) as u(year) where y0 is not null group by 1, 2",
     "source_year_counts": "select source_layer, year(published_at)::int as year, count(*) as n, round(log10(count(*) + 1.0::double), 6) as log_n from documents group by 1, 2",
     "uniform_year_spread": "with s as (select source, count(*) as n, year(min(published_at)) as y0, year(max(published_at)) as y1 from documents group by 1) select source, year::int as year, n // (y1 - y0 + 1) + case when year - y0 < n % (y1 - y0 + 1) then 1 else 0 end as share from s, unnest(range(y0, y1 + 1)) as u(year) where y0 is not null",
     "integrity_report": f"""select count(*) as n_rows, count(distinct item_id) as unique_items, count(*) - count(distinct {_n("coalesce(text, '')")}) as repeated_texts, min(substr(timestamp, 1, 10)) as first_day, max(substr(timestamp, 1, 10)) as last_day,

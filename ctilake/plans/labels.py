@@ -63,13 +63,8 @@ def leakage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters left when severity fields, scores and vectors go, and then paragraphs that still name one."""
-    t = filled()
-    for p in (r"(?im)^\s*\[?\s*(severity|sev)\s*:\s*\S.*$", r"(?im)^\s*cvss(\s+(score|base score))?\s*:\s*[0-9.]+(\s*/\s*10)?\s*$", X.SEVERITY_STRICT["cvss_vector"]):
-        t = F.regexp_replace(t, p, "")
-    named = lambda p: F.lower(p).contains("severity") & F.lower(p).rlike("critical|high|medium|moderate|low")
-    kept = F.filter(F.transform(F.split(t, r"\n\s*\n"), F.trim), lambda p: (p != "") & ~named(p))
-    return _with_severity(spark, sf_dir).select("doc_id", F.length(F.array_join(kept, "\n\n")).alias("chars"))
+    """Characters left when severity lines, scores, vectors and inline labels go, and then paragraphs that still name one."""
+    return _with_severity(spark, sf_dir).select("doc_id", F.length(X.strip_severity(filled())).alias("chars"))
 
 
 def condition_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,10 +175,10 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (cve_extract_explode, cti_score, actionable_patterns, title_cascade_label, weak_ternary_label, severity_extract, severity_strip, leakage_flags, condition_masks, condition_masks_boilerplate, clean_posts, language_gate, preprocessing_pipeline, hmac_rekey, governed_redaction, governed_validation, thread_first_post, per_thread_cap, url_canonical, engine_detect, html_strip, text_assembly, label_distribution, props_json)}
 
 _t = "coalesce(text, '')"
-_cti = " + ".join(f"(case when contains(lower({_t}), '{k}') then {w} else 0 end)" for w, ks in X.CTI_KEYWORDS for k in ks.split("|"))
+_cti = " + ".join(f"(case when contains(lower({_t}), '{k}') then {w} else 0 end)" for w, ks in X.CTI_KEYWORDS for k in ks)
 _quote = lambda p: p.replace("'", "''")
 _act = " + ".join(f"regexp_matches(coalesce(exploit_text, ''), '{_quote(p)}')::int" for p in X.ACTIONABLE)
-_class = "case " + " ".join(f"when {' or '.join(f"contains(p, '{k}')" for k in ks.split('|'))} then '{n}'" for n, ks in X.TITLE_CLASSES) + " end"
+_class = "case " + " ".join(f"when {' or '.join(f"contains(p, '{k}')" for k in ks)} then '{n}'" for n, ks in X.TITLE_CLASSES) + " end"
 _norm = lambda c: rf"trim(regexp_replace(lower({c}), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 _any = lambda ks: "(" + " or ".join(f"contains(lower({_t}), '{k}')" for k in ks) + ")"
 _ratio = lambda c: rf"case when {c} = '' then 0 else length(regexp_replace({c}, '[^\x00-\x7F]', '', 'g'))::double / length({c}) end"
@@ -221,9 +216,14 @@ select post_key, author, substr(sha256(author || '::' || post_key::varchar), 1,
     "thread_first_post": """with k as (select *, row_number() over (partition by forum_id, thread_id order by coalesce(post_index, 2147483647), row_id) as rn from raw_posts where thread_id is not null)
 select forum_id, thread_id, row_id, concat_ws(chr(10) || chr(10), thread_title, body) as text from k where rn = 1""",
     "per_thread_cap": "with k as (select forum_id, thread_id, row_id, row_number() over (partition by forum_id, thread_id order by coalesce(post_index, 2147483647), row_id)::int as place from raw_posts where thread_id is not null) select * from k where place <= 5",
+    "severity_strip": rf"""with r as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_t}, '(?im)^\s*\[?\s*(?:severity|sev|cvss[^:]*)\s*:\s*(?:critical|high|medium|moderate|low)\s*\]?\s*$', '', 'g'), '(?im)^\s*cvss(?:\s+(?:score|base score))?\s*:\s*[0-9.]+(?:\s*/\s*10)?\s*$', '', 'g'), '(?i)CVSS:\d\.\d/[A-Z:0-9./-]+', '', 'g'),
+ '(?i)\[?\s*(?:severity|sev|cvss[^:]*)\s*:\s*(?:critical|high|medium|moderate|low)\s*\]?', '', 'g') as t from {_sev}), p as (select doc_id, regexp_split_to_array(t, '\n\s*\n') as ps from r),
+k as (select doc_id, array_to_string(list_filter(list_transform(list_filter(ps, lambda p: not (contains(lower(p), 'severity') and regexp_matches(p, '(?i)critical|high|medium|moderate|low')) and not (contains(lower(p), 'cvss') and regexp_matches(p, '\b[0-9](?:\.[0-9])?\s*(?:/10)?\b'))), lambda p: trim(p, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda p: p <> ''), chr(10) || chr(10)) as t from p)
+select doc_id, length(trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))::int as chars from k""",
+    "condition_masks_boilerplate": f"""with r as (select rec_id, {_sub(_t, X.MASK_BOILERPLATE)} as b from task2_exploit_type) select rec_id, length(b)::int as minus_boilerplate, length({_sub(_sub(_sub('b', X.MASK_CVE), X.MASK_URL), X.MASK_VERSION)})::int as all_removed from r""",
     "url_canonical": r"""with r as (select thread_url, lower(regexp_extract(thread_url, '^([A-Za-z]+)://', 1)) as s, lower(regexp_extract(thread_url, '^[A-Za-z]+://([^/?#]*)', 1)) as h, regexp_extract(thread_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as p, regexp_extract(thread_url, '^[^?#]*\?([^#]*)', 1) as q from raw_posts where thread_url is not null),
-p as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '/+', '/', 'g'), '(?i)/(unread|latest|new-post|last-post)/?$', '/'), '(?i)/page-\d+/?$', '/'), '(?i)/page/\d+/?$', '/') as c from r)
-select s || '://' || h || case when c = '/' then c else regexp_replace(c, '/+$', '') end || case when q <> '' then '?' || q else '' end as url, count(*) as n, count(distinct thread_url) as variants from p group by 1""",
+p as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '/+', '/', 'g'), '(?i)/(unread|latest|new-post|last-post)/?$', '/'), '(?i)/page-\d+/?$', '/'), '(?i)/page/\d+/?$', '/') as c, array_to_string(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^(?i:t|tid|thread|thread_id|topic|topic_id|showtopic|f|fid|forum|forum_id|id)=.+$')), '&') as k from r)
+select s || '://' || h || case when c = '/' then c else regexp_replace(c, '/+$', '') end || case when k <> '' then '?' || k else '' end as url, count(*) as n, count(distinct thread_url) as variants from p group by 1""",
     "engine_detect": r"""select r.forum_id, engine, case when regexp_matches(thread_url, '(?i)view(forum|topic)\.php') then 'phpbb' when regexp_matches(thread_url, '(?i)(forumdisplay|showthread)\.php') then 'mybb' when regexp_matches(thread_url, '(?i)\?app=forums') then 'invision' else 'unknown' end as detected, count(*) as n
 from raw_posts r join forums f on r.forum_id = f.forum_id where thread_url is not null group by 1, 2, 3""",
     "html_strip": f"select row_id, length(body)::int as before, length({_strip('body')})::int as after from raw_posts where contains(body, '<') or contains(body, '&')",

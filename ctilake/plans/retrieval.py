@@ -129,7 +129,7 @@ _gold_sql = r"g as (select i.item_id as q, p.pair_id as d from task1_cve_linkage
 _ranks = f"""{_bm25_sql('plus', 1.5)}, {_gold_sql}, b as (select plus.q, arg_max(plus.d, struct_pack(a := score, b := -plus.d)) as gd, max(score) as gs from plus join g on plus.q = g.q and plus.d = g.d group by 1),
 r as (select p.q, count(*) filter (score > gs) + count(*) filter (score = gs and d < gd) + 1 as rank, count(*) filter (score > gs) + 1 as rank_opt, count(*) filter (score >= gs) as rank_pes from plus p join b on p.q = b.q group by 1)"""
 _ends = lambda t, n: f"(select q, d, coalesce((score - min(score) over (partition by q)) / nullif(max(score) over (partition by q) - min(score) over (partition by q), 0), 0) as {n} from {t})"
-_pred = f"""(select label, coalesce(case {" ".join(f"when {' or '.join(f"contains(p, '{k}')" for k in ks.split('|'))} then '{n}'" for n, ks in X.TITLE_CLASSES)} end, 'none') as predicted from (select label, lower(case when instr(f, ' - ') > 0 then substr(f, instr(f, ' - ') + 3) else f end) as p from (select label, split_part(coalesce(text, ''), chr(10), 1) as f from task2_exploit_type)))"""
+_pred = f"""(select label, coalesce(case {" ".join(f"when {' or '.join(f"contains(p, '{k}')" for k in ks)} then '{n}'" for n, ks in X.TITLE_CLASSES)} end, 'none') as predicted from (select label, lower(case when instr(f, ' - ') > 0 then substr(f, instr(f, ' - ') + 3) else f end) as p from (select label, split_part(coalesce(text, ''), chr(10), 1) as f from task2_exploit_type)))"""
 _act = " + ".join(f"regexp_matches(coalesce(exploit_text, ''), '{p.replace(chr(39), chr(39) * 2)}')::int" for p in X.ACTIONABLE)
 SQL = {
     "bm25_okapi_topk": f"with {_bm25_sql('okapi', 1.5)} {_top('okapi')}",

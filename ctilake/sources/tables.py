@@ -58,13 +58,20 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+MOST_BYTES = 64 << 20  # of a side that is broadcast
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only when ``df`` has at most ``max_rows`` rows.
+    """Hint a broadcast only when ``df`` has at most ``max_rows`` rows of at most MOST_BYTES together.
 
-    The size is checked by reading no more than ``max_rows + 1`` rows; a larger side keeps
-    whatever join the planner picks for it.
+    The size is checked by reading no more than ``max_rows + 1`` rows; texts count with their length,
+    any other column with eight bytes. A larger side keeps whatever join the planner picks for it.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    other = [F.coalesce(F.size(f"`{f.name}`") * 16, F.lit(0)) for f in df.schema.fields if f.dataType.simpleString().startswith("array")]
+    size = sum([*texts, *other], F.lit(8 * len(df.columns)))
+    n, total = df.limit(max_rows + 1).select(size.cast("bigint").alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and total <= MOST_BYTES else df
 
 
 def collected_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
