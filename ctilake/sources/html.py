@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ctilake.functions import text as X
 
-# Post blocks and, within a block, author, time and body of the engines' default markup.
+# Post blocks and, within a block, author, time and body of the engines' default markup.
 ENGINES = {
     "phpbb": (r'(?s)<div class="post[^"]*".*?</div>\s*</div>', r'class="username[^"]*">([^<]+)<', r'datetime="([^"]+)"', r'(?s)<div class="content">(.*?)</div>'),
     "mybb": (r'(?s)<div class="post ?[^"]*" id="post_\d+".*?<!-- end: postbit -->', r'class="largetext">(?:<a[^>]*>)?([^<]+)<', r'class="post_date">([^<]+)<', r'(?s)class="post_body[^"]*"[^>]*>(.*?)</div>'),
@@ -29,6 +29,10 @@ def links(pages: DataFrame, html: str) -> DataFrame:
     return found.filter(F.col("u").rlike("^https?://")).select(X.canonical_url(F.col("u")).alias("url")).distinct()
 
 
+# What block pages say.
+BLOCKED = ["just a moment", "verify you are human", "checking your browser", "cf-browser-verification", "why do i have to complete a captcha", "attention required! | cloudflare"]
+
+
 def blocked(html):
-    """Whether a page is a block or placeholder page."""
-    return X.contains_any(F.lower(F.coalesce(html, F.lit(""))), ["just a moment", "checking your browser", "access denied", "captcha", "enable javascript and cookies", "ddos protection"])
+    """Whether a page is a block page; null is none."""
+    return X.contains_any(F.lower(F.coalesce(html, F.lit(""))), BLOCKED)
