@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ WORDS = 12
 BLOCK = WORDS // 2
 SHARD_CHARS = 16_000_000
 SHARED = 4
-LETTERS = 1_000_000
+DIGITS = 32
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -28,8 +29,9 @@ def words(text: str) -> list[str]:
 class Passages:
     """Automaton over the held-out texts of one shard.
 
-    Each word of the shard is one letter of the automaton's alphabet, so its size follows the
-    number of words and not of characters. The patterns are the blocks of six words at every
+    Each word of the shard is spelled with a fixed number of letters, its number in base DIGITS, and
+    every place of a word has letters of its own. So a node has few children, however many words
+    there are, and matches begin at words only. The patterns are the blocks of six words at every
     sixth place of an item: any twelve consecutive words hold one of them whole. A match is then
     extended in both directions. Blocks that more than SHARED items hold lead through a table of
     their twelve-word windows, so that a common phrase costs a lookup and not a list.
@@ -38,29 +40,28 @@ class Passages:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.letters: dict[str, str] = {}
-        spelled: dict[int, str] = {}
+        self.numbers: dict[str, int] = {}
+        self.items: dict[int, array] = {}
         for i, t in items:
             if len(ws := words(t)) >= WORDS:
-                for x in ws:
-                    if x not in self.letters:
-                        n = len(self.letters) % LETTERS + 1
-                        self.letters[x] = chr(n if n < 0xD800 else n + 0x800)
-                spelled[i] = self.spell(ws)
-        # letters stand for words one to one unless there are more words than letters: then words are compared
-        self.exact = len(self.letters) <= LETTERS
-        self.items = spelled if self.exact else {i: words(t) for i, t in items if i in spelled}
+                self.items[i] = array("i", [self.numbers.setdefault(x, len(self.numbers)) for x in ws])
+        self.places = 1
+        while DIGITS**self.places < len(self.numbers):
+            self.places += 1
+        self.letters = {w: "".join(chr(1 + place * DIGITS + n // DIGITS**place % DIGITS) for place in range(self.places)) for w, n in self.numbers.items()}
+        self.unknown = "\0" * self.places
+        by_number = list(self.letters.values())
         blocks: dict[str, list[tuple[int, int]]] = {}
-        for i, s in spelled.items():
-            for at in range(0, len(s) - BLOCK + 1, BLOCK):
-                blocks.setdefault(s[at : at + BLOCK], []).append((i, at))
-        self.windows: dict[str, list[tuple[int, int]]] = {}
+        for i, ns in self.items.items():
+            for at in range(0, len(ns) - BLOCK + 1, BLOCK):
+                blocks.setdefault("".join([by_number[n] for n in ns[at : at + BLOCK]]), []).append((i, at))
+        self.windows: dict[bytes, list[tuple[int, int]]] = {}
         self.automaton = ahocorasick.Automaton()
         for block, places in blocks.items():
             if len(places) > SHARED:
                 for i, at in places:
-                    for start in range(max(0, at - WORDS + BLOCK), min(at, len(spelled[i]) - WORDS) + 1):
-                        held = self.windows.setdefault(spelled[i][start : start + WORDS], [])
+                    for start in range(max(0, at - WORDS + BLOCK), min(at, len(self.items[i]) - WORDS) + 1):
+                        held = self.windows.setdefault(self.items[i][start : start + WORDS].tobytes(), [])
                         if (i, start) not in held[-2:]:
                             held.append((i, start))
                 places = None
@@ -69,23 +70,21 @@ class Passages:
         if self.any:
             self.automaton.make_automaton()
 
-    def spell(self, ws: list[str]) -> str:
-        get = self.letters.get
-        return "".join([get(w, "\0") for w in ws])
-
     def find(self, text: str) -> dict[int, tuple[int, int]]:
         """Items of which WORDS consecutive words stand in ``text``: {item: (first word, words) of the longest passage}."""
-        ws = words(text)
-        if len(ws) < WORDS or not self.any:
+        names = words(text)
+        if len(names) < WORDS or not self.any:
             return {}
-        s = self.spell(ws)
-        ws = s if self.exact else ws
+        get, unknown = self.letters.get, self.unknown
+        ws = None
         found: dict[int, tuple[int, int]] = {}
         tried = set()
-        for end, places in self.automaton.iter(s):
-            at = end - BLOCK + 1
+        for end, places in self.automaton.iter("".join([get(w, unknown) for w in names])):
+            if ws is None:
+                ws = array("i", [self.numbers.get(w, -1) for w in names])
+            at = (end + 1) // self.places - BLOCK
             if places is None:
-                places = [(i, start + at - first) for first in range(max(0, at - WORDS + BLOCK), min(at, len(s) - WORDS) + 1) for i, start in self.windows.get(s[first : first + WORDS], ())]
+                places = [(i, start + at - first) for first in range(max(0, at - WORDS + BLOCK), min(at, len(ws) - WORDS) + 1) for i, start in self.windows.get(ws[first : first + WORDS].tobytes(), ())]
             for i, place in places:
                 if (i, place - at) in tried:
                     continue
@@ -142,8 +141,9 @@ def leaks(items: DataFrame, item_key: str, item_text: str, posts: DataFrame, pos
 
     Equal item texts are one class and are expanded by a join at the end. The held-out texts are
     cut into shards of at most about SHARD_CHARS characters; the number of characters is counted
-    first, so what the driver gathers and broadcasts at once is bounded, and larger evaluation
-    sets take more scans of the posts. Null texts and texts of fewer than 12 words match nothing.
+    first, so what the driver gathers and broadcasts is bounded. Larger evaluation sets take one scan
+    of the posts for each shard, one after the other: a scan is finished and its shard dropped before
+    the next is gathered. Null texts and texts of fewer than 12 words match nothing.
     """
     held = items.filter(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item_id"), F.col(item_text).alias("_text"))
     held = held.withColumn("_class", F.xxhash64("_text")).withColumn("_class2", F.xxhash64(F.lit(3), "_text"))
@@ -155,7 +155,11 @@ def leaks(items: DataFrame, item_key: str, item_text: str, posts: DataFrame, pos
     found = None
     for shard in range(max(1, shards)):
         part = [(r[0], r[1]) for r in classes.filter(F.pmod("_class", F.lit(max(1, shards))) == shard).select("text_class", "_text").toLocalIterator()]
-        one = scanned.mapInArrow(_scan(_Shared(items.sparkSession.sparkContext.broadcast(part))), schema)
+        broadcast = items.sparkSession.sparkContext.broadcast(part)
+        one = scanned.mapInArrow(_scan(_Shared(broadcast)), schema)
+        if shards > 1:
+            one = cut(one)
+            broadcast.destroy()
         found = one if found is None else found.unionByName(one)
     member = held.join(classes.select("_class", "_class2", "text_class"), ["_class", "_class2"]).select("item_id", "text_class")
     return found.join(member, "text_class").select("item_id", "post_key", "char_start", "char_end", "n_words")
