@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ctilake.sources.tables import table
 
 SAMPLE_A_LABEL = 300  # labelled rows in expectation taken for each language to fit the classifier
+SAMPLE_CHARS = 4000  # longer texts are not taken to fit it, so that the sample fits on the driver
 LANDMARKS = 40  # for each language
 RIDGE = 1.0
 WORDS, LETTERS = 5, 16  # what a whole sentence has at least
@@ -162,16 +163,15 @@ def train(posts: DataFrame, key: str, text: str, label: str) -> Model:
     thousandth of the labelled rows bear, so stray labels make no class.
     """
     coded = posts.select(F.col(key).alias("key"), F.col(text).alias("text"), label_code(F.col(label)).alias("code")).filter("code is not null")
-    counts = {r[0]: r[1] for r in coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(200).collect()}
-    total = sum(counts.values())
-    known = {c: n for c, n in counts.items() if n * 1000 >= total and len(c) == 2}
+    counts = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    share_of_all = counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))), F.col("n") * 1000 >= F.col("total"))  # at most a thousand labels
+    known = {r[0]: r[1] for r in share_of_all.filter(F.length("code") == 2).select("code", "n").collect()}
     if not known:
         return fit([])
     parts = F.expr("map(" + ", ".join(f"'{c}', {min(1.0, SAMPLE_A_LABEL / n):.12f}d" for c, n in known.items()) + ")")
     share = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
-    picked = coded.filter(F.col("code").isin(list(known)) & (share < F.try_element_at(parts, F.col("code"))) & F.col("text").isNotNull())
-    rows = picked.select("key", F.substring("text", 1, 4000).alias("text"), "code").limit(2 * SAMPLE_A_LABEL * len(known)).collect()
-    return fit([(r["text"], r["code"]) for r in sorted(rows, key=lambda r: r["key"])])
+    picked = coded.filter(F.col("code").isin(list(known)) & (share < F.try_element_at(parts, F.col("code"))) & (F.length("text") <= SAMPLE_CHARS))
+    return fit([(r["text"], r["code"]) for r in sorted(picked.collect(), key=lambda r: r["key"])])
 
 
 def _is_sentence(words: list[str]) -> bool:

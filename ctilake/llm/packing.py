@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctilake.llm import codepoints as C
-from ctilake.llm.tokens import TOKENIZERS, encode_rows
+from ctilake.llm.tokens import TOKENIZERS, encode_rows, send_vocabulary
 from ctilake.sources.tables import broadcast_if_small, cut, table
 
 OPEN_BINS = 64
@@ -123,7 +123,8 @@ def pack(df: DataFrame, key: str, text: str, specs: DataFrame, directory: str =
     document above the capacity is divided, into full containers and a rest. Null and empty texts
     have no tokens and are placed all the same. Specs without a positive capacity are left out.
     """
-    known = [(int(i), int(c)) for i, c in specs.select("spec_id", "capacity").filter("capacity > 0").limit(1000).collect()]
+    send_vocabulary(df.sparkSession, directory)
+    known = [(int(i), int(c)) for i, c in specs.select("spec_id", "capacity").filter("capacity > 0").collect()]  # a dimension: one packer each in every task
     schema = "spec_id int, part bigint, bin bigint, key bigint, start bigint, n_tokens bigint, is_open boolean"
     rows = cut(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_pack(known, directory, limit), schema))
     left = rows.filter("is_open").join(broadcast_if_small(specs.select("spec_id", "capacity")), "spec_id").select("spec_id", "capacity", "part", "bin", "n_tokens")

@@ -10,13 +10,14 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctilake.llm import codepoints as C
 from ctilake.sources.tables import table
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 CACHE_PIECES = 400_000
 
 # Classes of code points. LSDMT and the single letters matter only behind an apostrophe.
@@ -131,16 +132,17 @@ def boundaries(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Pieces(dict):
     """Bytes of a piece to its ids as int32 bytes; unknown pieces go through pair merging once."""
 
-    def __init__(self, directory: str, name: str = "byte_bpe_50k.tiktoken"):
+    def __init__(self, directory: str, name: str = VOCABULARY):
         import tiktoken
 
-        with open(Path(directory) / name, "rb") as f:
+        path = Path(directory) / name
+        with open(path if path.exists() else SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.of = {i: p for p, i in ranks.items()}
-        self._merge = tiktoken.Encoding("pieces", pat_str="", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self._merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary  # all of a piece is one match
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(self._merge(piece), np.int32).tobytes()
+        ids = np.array(self._merge(piece.decode("utf-8")), np.int32).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -151,6 +153,17 @@ def pieces(directory: str) -> Pieces:
     return Pieces(directory)
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def send_vocabulary(spark: SparkSession, directory: str) -> None:
+    """Give the vocabulary file to the executors once, for those that do not have the folder."""
+    sc = spark.sparkContext
+    if (sc.applicationId, directory) not in _sent:
+        sc.addFile(str(Path(directory) / VOCABULARY))
+        _sent.add((sc.applicationId, directory))
+
+
 def encode_rows(part: pa.Array, directory: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in one array, and where each row's ids begin; null and empty rows have none."""
     cache = pieces(directory)
@@ -185,6 +198,7 @@ def encode(df: DataFrame, key: str, text: str, directory: str = TOKENIZERS) -> D
     Empty and null texts have the defined result of an empty list. Rows stay in their partition;
     a worker keeps at most CACHE_PIECES pieces.
     """
+    send_vocabulary(df.sparkSession, directory)
     return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_ids(directory), "key bigint, ids array<int>")
 
 
@@ -208,6 +222,7 @@ def _lossless(directory: str):
 
 def lengths(df: DataFrame, key: str, text: str, directory: str = TOKENIZERS) -> DataFrame:
     """(key, n_tokens, n_bytes, lossless): decoding by the retained offsets gives every text back."""
+    send_vocabulary(df.sparkSession, directory)
     return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_lossless(directory), "key bigint, n_tokens bigint, n_bytes bigint, lossless boolean")
 
 
