@@ -69,11 +69,14 @@ def bootstrap_mean(rows: DataFrame, group: str, unit: str, value: str, replicate
 
 def f1_summary(rows: DataFrame, by: list[str], label: str, predicted: str) -> DataFrame:
     """(by, n, accuracy, macro_f1, weighted_f1) from one count of label pairs; classes of either side count in the macro mean."""
-    c = rows.groupBy(*by, F.col(label).alias("y"), F.col(predicted).alias("p")).agg(n_rows().alias("n"))
+    c = rows.groupBy(*by, F.col(label).alias("_y"), F.col(predicted).alias("_p")).agg(n_rows().alias("_n"))
     zero = F.lit(0).cast("bigint")
-    sides = c.select(*by, F.explode(F.array(F.struct(F.col("y").alias("class"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("support"), zero.alias("guessed")), F.struct(F.col("p").alias("class"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("guessed")))).alias("s"))
-    m = sides.groupBy(*by, "s.class").agg(*[F.sum(f"s.{x}").alias(x) for x in ("tp", "support", "guessed")]).withColumn("f1", _ratio(2.0 * F.col("tp"), F.col("support") + F.col("guessed")))
-    return m.groupBy(*by).agg(F.sum("support").alias("n"), F.round(_ratio(F.sum("tp"), F.sum("support")), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(_ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")), 6).alias("weighted_f1"))
+    true = F.struct(F.col("_y").alias("_class"), F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0).alias("_tp"), F.col("_n").alias("_support"), zero.alias("_guessed"))
+    guess = F.struct(F.col("_p").alias("_class"), zero.alias("_tp"), zero.alias("_support"), F.col("_n").alias("_guessed"))
+    m = c.select(*by, F.explode(F.array(true, guess)).alias("_s")).groupBy(*by, "_s._class").agg(*[F.sum(f"_s.{x}").alias(x) for x in ("_tp", "_support", "_guessed")])
+    m = m.withColumn("_f1", _ratio(2.0 * F.col("_tp"), F.col("_support") + F.col("_guessed")))
+    whole = F.sum("_support")
+    return m.groupBy(*by).agg(whole.alias("n"), F.round(_ratio(F.sum("_tp"), whole), 6).alias("accuracy"), F.round(F.avg("_f1"), 6).alias("macro_f1"), F.round(_ratio(F.sum(F.col("_f1") * F.col("_support")), whole), 6).alias("weighted_f1"))
 
 
 def bootstrap_macro_f1(rows: DataFrame, key: str, label: str, predicted: str, replicates: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctilake.operators import metrics as M
-from ctilake.sources.tables import table
+from ctilake.sources.tables import broadcast_if_small, table
 
 MODELS = {
     "lr": lambda: LogisticRegression(maxIter=20, regParam=1e-3, weightCol="weight", family="multinomial"),
@@ -23,7 +23,7 @@ def train(rows: DataFrame, model: str = "lr", features: int = 1 << 12):
     """Pipeline of unigram and bigram TF-IDF and a learner, fitted on (text, label) with balanced weights."""
     n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
-    weighted = rows.join(F.broadcast(n.limit(10_000)), "label").withColumn("weight", F.lit(float(total)) / F.col("_n"))
+    weighted = rows.join(broadcast_if_small(n), "label").withColumn("weight", F.lit(float(total)) / F.col("_n"))
     stages = [
         RegexTokenizer(inputCol="text", outputCol="w", pattern=r"[A-Za-z0-9_\-]{2,}", gaps=False), NGram(n=2, inputCol="w", outputCol="b"), SQLTransformer(statement="select *, concat(w, b) as g from __THIS__"),
         HashingTF(inputCol="g", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features", minDocFreq=2), MODELS[model](),

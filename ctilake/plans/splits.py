@@ -42,15 +42,6 @@ def ev_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.join(links, "family", "left").join(known, "family", "left").groupBy(F.col("pair_id").isNotNull().alias("has_pair"), F.col("item_id").isNotNull().alias("has_item")).agg(n_rows().alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next pair in hash order within sixteen hash buckets, where it has another identifier. ``negative_for_every_pair`` leaves none out."""
-    key = F.md5(F.concat(F.lit("42|"), F.col("pair_id").cast("string")))
-    rows = table(spark, sf_dir, "ev_pairs").filter("cve_id is not null").select("pair_id", "cve_id", key.alias("k"))
-    w = W.partitionBy(F.substring("k", 1, 1)).orderBy("k", "pair_id")
-    rows = rows.withColumn("other", F.lead("pair_id").over(w)).withColumn("other_cve", F.lead("cve_id").over(w))
-    return rows.filter(F.col("other_cve") != F.col("cve_id")).select("pair_id", F.col("other").alias("negative_id"))
-
-
 def negative_for_every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One negative for every pair with an identifier: the next pair of another identifier in hash order, the first after the last.
 
@@ -138,7 +129,7 @@ def corpus_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title of every thread by its last row, joined back to the number of its posts."""
+    """Title of every thread by its last row, and the number of its posts; ``posts_with_title`` joins it back to them."""
     raw = table(spark, sf_dir, "raw_posts").filter("thread_id is not null")
     return raw.groupBy("forum_id", "thread_id").agg(F.max_by("thread_title", "row_id").alias("title"), n_rows().alias("posts"))
 
@@ -150,7 +141,18 @@ def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("place", F.row_number().over(w)).filter("place <= 20").select("event_type", "event_id", "value", "place")
 
 
-QUERIES = {f.__name__: f for f in (linkage_split_semi, cve_year_disjoint, ev_pairs, negative_pairs, negative_for_every_pair, balanced_pos_neg, label_cap, round_robin_strata, hash_sample, time_spell_sample, split_overlap_matrix, vocab_jaccard, corpus_difference, latest_title)}
+def posts_with_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every post of a thread with the title that the thread had last."""
+    raw = table(spark, sf_dir, "raw_posts").filter("thread_id is not null").select("row_id", "forum_id", "thread_id")
+    return raw.join(latest_title(spark, sf_dir).drop("posts"), ["forum_id", "thread_id"], "left").select("row_id", "title")
+
+
+def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One negative for every pair with an identifier, see ``negative_for_every_pair``."""
+    return negative_for_every_pair(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (linkage_split_semi, cve_year_disjoint, ev_pairs, negative_pairs, negative_for_every_pair, balanced_pos_neg, label_cap, round_robin_strata, hash_sample, time_spell_sample, split_overlap_matrix, vocab_jaccard, corpus_difference, latest_title, posts_with_title)}
 QUERIES["top_events_by_type"] = exact_search
 _norm = lambda c: rf"trim(regexp_replace(lower({c}), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 _ISO = r"regexp_matches(substr(timestamp, 1, 10), '^\d{4}-\d{2}-\d{2}$')"
@@ -164,8 +166,6 @@ from task1_cve_linkage i where exists (select 1 from ev_pairs p where {_fam('p.c
     "cve_year_disjoint": f"select split, {_YEAR} as year, count(*) as n from task1_cve_linkage i where split <> 'train' and not exists (select 1 from task1_cve_linkage t where t.split = 'train' and t.cve_id = i.cve_id) group by 1, 2",
     "ev_pairs": f"""with r as (select doc_id, unnest(cve_refs) as c from documents), m as (select distinct doc_id, {_fam('c')} as f from r) select pair_id is not null as has_pair, item_id is not null as has_item, count(*) as n, count(distinct doc_id) as docs from m
 left join (select {_fam('cve_id')} as f, min(item_id) as item_id from task1_cve_linkage group by 1) i on m.f = i.f left join (select {_fam('cve_id')} as f, min(pair_id) as pair_id from ev_pairs where cve_id is not null and vulnerability_text is not null group by 1) p on m.f = p.f group by 1, 2""",
-    "negative_pairs": """with r as (select pair_id, cve_id, md5('42|' || pair_id::varchar) as k from ev_pairs where cve_id is not null), l as (select *, lead(pair_id) over w as o, lead(cve_id) over w as c from r window w as (partition by substr(k, 1, 1) order by k, pair_id))
-select pair_id, o as negative_id from l where c <> cve_id""",
     "negative_for_every_pair": """with r as (select pair_id, cve_id, row_number() over (order by md5('42|' || pair_id::varchar), pair_id) as i, count(*) over () as n from ev_pairs where cve_id is not null), t as (select *, i as j from r union all select *, i + n from r),
 l as (select *, lead(pair_id) over w as o, lead(cve_id) over w as c from t window w as (order by j)), m as (select pair_id, i = j as own, first_value(case when c <> cve_id then o end ignore nulls) over (order by j rows between current row and unbounded following) as negative_id from l)
 select pair_id, negative_id from m where own and negative_id is not null""",
@@ -180,6 +180,8 @@ select spell, n, greatest(1, round_even(1000.0::double * n / sum(n) over (), 0))
     "vocab_jaccard": r"""with w as (select distinct doc_id, source_layer, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\-]{3,}')) as w from documents), k as (select source_layer, w from w group by 1, 2 having count(*) >= 3), s as (select source_layer, count(*) as n from k group by 1),
 p as (select a.source_layer as a, b.source_layer as b, count(*) as shared from k a join k b on a.w = b.w and a.source_layer < b.source_layer group by 1, 2) select a, b, shared, round(shared::double / (x.n + y.n - shared), 6) as jaccard from p join s x on a = x.source_layer join s y on b = y.source_layer""",
     "corpus_difference": f"with a as (select distinct {_fam('cve_id')} as f from task1_cve_linkage where cve_id is not null), b as (select distinct {_fam('cve_id')} as f from ev_pairs where cve_id is not null) select a.f is not null as in_items, b.f is not null as in_pairs, count(*) as n from a full join b on a.f = b.f group by 1, 2",
+    "posts_with_title": "select row_id, first_value(thread_title) over (partition by forum_id, thread_id order by row_id desc) as title from raw_posts where thread_id is not null",
     "latest_title": "select forum_id, thread_id, (array_agg(thread_title order by row_id desc))[1] as title, count(*) as posts from raw_posts where thread_id is not null group by 1, 2",
     "top_events_by_type": "with k as (select event_type, event_id, value, row_number() over (partition by event_type order by value desc, event_id)::int as place from events) select * from k where place <= 20",
 }
+SQL["negative_pairs"] = SQL["negative_for_every_pair"]

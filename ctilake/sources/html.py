@@ -11,6 +11,9 @@ from ctilake.functions import text as X
 ENGINES = {
     "phpbb": (r'(?s)<div class="post[^"]*".*?</div>\s*</div>', r'class="username[^"]*">([^<]+)<', r'datetime="([^"]+)"', r'(?s)<div class="content">(.*?)</div>'),
     "mybb": (r'(?s)<div class="post ?[^"]*" id="post_\d+".*?<!-- end: postbit -->', r'class="largetext">(?:<a[^>]*>)?([^<]+)<', r'class="post_date">([^<]+)<', r'(?s)class="post_body[^"]*"[^>]*>(.*?)</div>'),
+    "invision": (r'(?s)<article[^>]*id="elComment_\d+".*?</article>', r'class="ipsType_break">(?:<a[^>]*>)?([^<]+)<', r'datetime="([^"]+)"', r'(?s)data-role="commentContent"[^>]*>(.*?)</div>'),
+    "discourse": (r'(?s)<div[^>]*class="topic-body crawler-post".*?<!-- /post -->', r'itemprop="name">([^<]+)<', r'datetime="([^"]+)"', r'(?s)itemprop="text"[^>]*>(.*?)</div>'),
+    "generic": (r'(?s)<(?:article|li|div)[^>]*class="[^"]*\b(?:post|message|comment)\b[^"]*".*?<!-- end -->', r'class="[^"]*(?:author|user)[^"]*">([^<]+)<', r'datetime="([^"]+)"', r'(?s)class="[^"]*(?:body|content|text)[^"]*"[^>]*>(.*?)</div>'),
     "xenforo": (r'(?s)<article class="message.*?</article>', r'data-author="([^"]*)"', r'datetime="([^"]+)"', r'(?s)<div class="bbWrapper">(.*?)</div>'),
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def append_results(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
 
 def manifest(df: DataFrame, source: str, extra: dict | None = None) -> str:
     """JSON of row counts by source, with a digest of all rows that does not depend on their order."""
-    counts = {r[0]: r[1] for r in df.groupBy(source).count().limit(100_000).collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(source).count().collect()}  # a dimension
     digest = df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()[0]
     return json.dumps({"rows": sum(counts.values()), "by_source": dict(sorted((str(k), v) for k, v in counts.items())), "digest": str(digest)} | (extra or {}), sort_keys=True)
 
@@ -56,3 +57,40 @@ def file_digests(spark, path: str) -> DataFrame:
 def markdown(rows: list[dict], columns: list[str]) -> str:
     """A small result table as Markdown."""
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *["| " + " | ".join(str(r.get(c, "")) for c in columns) + " |" for r in rows]])
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Rewrite ``path``: the new table is whole in a folder beside it before the old one gives way, also when ``df`` reads it."""
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    system = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(jpath(path)) and not system.rename(jpath(path), jpath(old)):
+        raise OSError(f"cannot move {path}")
+    if not system.rename(jpath(new), jpath(path)):
+        raise OSError(f"cannot move {new}")
+    system.delete(jpath(old), True)
+
+
+def digested_jsonl(df: DataFrame, path: str) -> tuple[int, DataFrame]:
+    """Gzipped JSON lines with the number of rows and the SHA-256 of every file written."""
+    return jsonl(df, path, gzip=True), file_digests(df.sparkSession, path).filter(F.col("path").endswith(".gz"))
+
+
+def grouped_summary(rows: list[dict], category: str, name: str, value: str, order: list[str], latex: bool = False) -> str:
+    """A text or LaTeX table of a small result, grouped by category in the given order, with a total for each."""
+    places = {c: i for i, c in enumerate(order)}
+    out = []
+    for c in sorted({r[category] for r in rows}, key=lambda c: (places.get(c, len(order)), str(c))):
+        mine = sorted((r for r in rows if r[category] == c), key=lambda r: (-r[value], str(r[name])))
+        if latex:
+            out += [rf"\\multicolumn{{2}}{{l}}{{\\textbf{{{c}}}}} \\\\", *[f"{r[name]} & {r[value]:,} \\\\" for r in mine], rf"\\midrule Total & {sum(r[value] for r in mine):,} \\\\"]
+        else:
+            out += [str(c), *[f"  {r[name]:<40}{r[value]:>14,}" for r in mine], f"  {'total':<40}{sum(r[value] for r in mine):>14,}"]
+    return "\n".join(out)
+
+
+def per_query(df: DataFrame, path: str, run: str) -> None:
+    """Ranks of one run, one row a query, under a folder of its own beside those of other runs."""
+    df.withColumn("run", F.lit(run)).write.mode("errorifexists").partitionBy("run").parquet(f"{path.rstrip('/')}/{run}")

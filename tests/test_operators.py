@@ -274,3 +274,201 @@ def test_unescape_and_composition_match_the_standard_library(spark):
         expected = html.unescape(unicodedata.normalize("NFC", t))
         df = spark.createDataFrame([(t,)], "x string")
         assert df.select(X._compose("x")).first()[0] == expected
+
+
+# --- pipeline ---------------------------------------------------------------------------------------------------------
+
+
+def test_temporal_sample_against_the_loop(spark):
+    import datetime as dt
+    import random
+
+    from ctilake.operators.pipeline import temporal_sample
+
+    rnd = random.Random(3)
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(days=rnd.choice([0, 5, 40, 300, 301, 302, 1200])), rnd.randint(0, 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "key bigint, day date, score int")
+    lo, hi = min(r[1] for r in rows), max(r[1] for r in rows)
+    for n, spells in ((17, 4), (50, 7), (500, 3)):
+        buckets = {}
+        for r in rows:
+            buckets.setdefault(min(spells - 1, int((r[1] - lo).days * spells / (hi - lo).days)), []).append(r)
+        chosen = []
+        for spell in sorted(buckets):
+            held = sorted(buckets[spell], key=lambda r: (-r[2], r[0]))
+            chosen += held[: len(rows) if n >= len(rows) else max(1, round(n * len(held) / len(rows)))]
+        want = {r[0] for r in (sorted(chosen, key=lambda r: -r[2])[:n] if len(chosen) > n else chosen)}
+        assert {r["key"] for r in temporal_sample(df, n, spells).collect()} == want
+    same = df.withColumn("day", F.lit("2020-01-01").cast("date"))
+    assert temporal_sample(same, 5, 3).count() == 5 and temporal_sample(df.limit(0), 5, 3).count() == 0
+
+
+def test_pipeline_stages(spark):
+    from ctilake.operators.pipeline import candidates, first_of_texts
+
+    good = "a plain text of some words about an exploit"
+    rows = [
+        (1, "f", None, f"<b>{good}</b>", "2020-01-01T00:00:00", "2021-01-01"), (2, "f", None, good, "2020-01-01", "2021"), (3, "f", "title that stands in for it", " ", "2020-01-01", None), (4, "f", None, None, "2020-01-01", None),
+        (5, "f", None, good, "soon", "2021-02-03T10"), (6, "f", None, good, "soon", "later"), (7, "f", None, good, "2020-01-01", "2020-01-01"), (8, "f", None, "ё" * 30, "2020-01-01", None), (9, "f", None, "two words", "2020-01-01", None), (10, "spam", None, good, "2020-01-01", None), (11, None, None, good, "2020-01-01", None),
+    ]
+    df = spark.createDataFrame(rows, "row_id bigint, forum_id string, thread_title string, body string, timestamp string, scraped_at string")
+    got = candidates(df, "row_id", cleaner=X.strip_html, blocked=("spam",))
+    assert {r["key"]: r["failed"] for r in got.collect()} == {1: None, 2: None, 3: None, 4: "text", 5: None, 6: "timestamp", 7: "real_timestamp", 8: "language", 9: "length", 10: "forum", 11: None}
+    assert {r["key"] for r in first_of_texts(got).collect()} == {1, 3}
+    assert candidates(df.limit(0), "row_id").count() == 0
+
+
+def test_entities_once_equals_the_loop(spark, tmp_path):
+    import random
+
+    from ctilake.plans.pipeline import entities_once
+
+    rnd = random.Random(2)
+    rows = [(i, f"f{rnd.randrange(12)}", f"https://{rnd.choice(['www.', ''])}h{rnd.randrange(12)}.example/t/{i}") for i in range(60)] + [(99, "f1", None)]
+    spark.createDataFrame(rows, "row_id bigint, forum_id string, thread_url string").write.parquet(str(tmp_path / "raw_posts.parquet"))
+    ids, hosts, want = set(), set(), set()
+    for i, f, u in rows[:-1]:
+        h = u.split("/")[2].removeprefix("www.")
+        if f not in ids and h not in hosts:
+            ids.add(f)
+            hosts.add(h)
+            want.add(i)
+    assert {r["key"] for r in entities_once(spark, str(tmp_path)).collect()} == want
+
+
+# --- advisories -------------------------------------------------------------------------------------------------------
+
+
+def test_mail_parts(spark):
+    from ctilake.functions import advisories as A
+
+    mail = 'From: "Ann Lee" <ann@x.example> (work)\nSubject: a long\n  subject\nDate: now\n\nhello\n> quoted\n\n\n\n\nworld\n-----BEGIN PGP SIGNATURE-----\nzzz\n-----END PGP SIGNATURE-----\nbye\n-----BEGIN PGP MESSAGE-----\nopen'
+    cases = [(mail, "hello\n\n\nworld\nbye", "a long subject", '"Ann Lee"'), ("no headers here", "no headers here", "", "unknown"), ("", "", "", "unknown"), (None, "", "", "unknown")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, m string")
+    got = df.select(A.mail_body(F.col("m")), A.header_field(F.col("m"), "Subject"), A.author_name(A.header_field(F.col("m"), "From"))).collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]
+
+
+def test_listing_parts(spark):
+    from ctilake.functions import advisories as A
+
+    page = "Document Title:\n===\nX\nRelease Date: 2020-01-02 \n\nDescription:\n====\n the text \n===\nPoC\n"
+    df = spark.createDataFrame([(page, '[{id:"a",t:"it\\\'s"},{id:"b"}]', "&lt;b&gt;x<br>y &amp;amp; z<i>!</i>\n\n", "&lt;b&gt;x</b> &eacute;")], "p string, j string, h string, u string")
+    r = df.select(A.key_value(F.col("p"), "release date"), A.section_after(F.col("p"), "description"), A.section_after(F.col("p"), "nowhere"), A.js_array(F.col("j"), "id string, t string"), A.listing_text(F.col("h")), A.unescaped_text(F.col("u"))).first()
+    assert r[0] == "2020-01-02" and r[1] == "the text" and r[2] == "" and [tuple(x) for x in r[3]] == [("a", "it's"), ("b", None)]
+    assert r[4] == "x\ny &amp; z !" and r[5] == "x é"
+
+
+# --- more sources -----------------------------------------------------------------------------------------------------
+
+
+def test_broken_archive_is_read_to_its_end(spark, tmp_path):
+    import gzip
+    import json
+
+    from ctilake.sources import readers
+
+    schema = "id string, text string"
+    whole = gzip.compress("\n".join([*(json.dumps({"id": str(i), "text": f"t{i} é"}) for i in range(5000)), "", "{bad"]).encode())
+    (tmp_path / "a.jsonl.gz").write_bytes(whole)
+    (tmp_path / "b.jsonl.gz").write_bytes(whole[: len(whole) // 2])
+    from pyspark.sql.types import StructType
+
+    paths = [str(tmp_path / f"{c}.jsonl.gz") for c in "ab"]
+    a, b = (readers.gzip_lines(spark, [p], StructType.fromDDL(schema)).collect() for p in paths)
+    assert len(a) == 5000 and 100 < len(b) < 5000 and [r["text"] for r in b] == [r["text"] for r in a][: len(b)]
+    assert readers.gzip_lines(spark, paths, StructType.fromDDL(schema)).count() == len(a) + len(b)
+
+
+def test_union_ranks_by_whole_path(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from ctilake.sources import readers
+
+    paths = []
+    for i, d in enumerate(("z one", "a+two")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x_posts.jsonl").write_text(f'{{"id": "{i}"}}\n')
+        paths.append(str(tmp_path / d / "x_posts.jsonl"))
+    got = readers.union_in_order(spark, [*paths, str(tmp_path / "missing.jsonl")], StructType.fromDDL("id string")).collect()
+    assert {(r["id"], r["file_rank"]) for r in got} == {("0", 0), ("1", 1)}
+
+
+def test_saved_splits_and_embedding_cache(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pytest
+
+    from ctilake.sources import readers
+
+    for split, n in (("train", 3), ("test", 2)):
+        (tmp_path / split).mkdir()
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([split] * n)], ["n", "q"])
+        with pa.OSFile(str(tmp_path / split / "data-0.arrow"), "wb") as f, (pa.ipc.new_stream if n == 3 else pa.ipc.new_file)(f, batch.schema) as w:
+            w.write_batch(batch)
+    got = readers.saved_splits(spark, str(tmp_path), "n bigint, q string").collect()
+    assert sorted((r["n"], r["split"]) for r in got) == [(0, "test"), (0, "train"), (1, "test"), (1, "train"), (2, "train")]
+    assert readers.saved_splits(spark, str(tmp_path / "none"), "n bigint").count() == 0
+    m = np.arange(35, dtype=np.float32).reshape(7, 5)
+    np.save(tmp_path / "mini_lm.npy", m)
+    ids = spark.createDataFrame([(f"d{i}",) for i in range(7)], "id string")
+    got = {r["id"]: list(r["embedding"]) for r in readers.embedding_cache(spark, str(tmp_path / "mini-lm.npy"), ids, "id", 3).collect()}
+    assert got == {f"d{i}": m[i].tolist() for i in range(7)}
+    with pytest.raises(ValueError):
+        readers.embedding_cache(spark, str(tmp_path / "mini_lm.npy"), ids.limit(3), "id")
+    with pytest.raises(FileNotFoundError):
+        readers.embedding_cache(spark, str(tmp_path / "other.npy"), ids, "id")
+
+
+def test_linked_pages_and_mail_archive(spark, tmp_path):
+    import json
+
+    from ctilake.sources import readers
+    from ctilake.sources.paged import LinkedJson
+
+    pages = {"a.json": ([{"id": 1}, {"id": 2}], '<b.json>; rel="next", <z>; rel="last"'), "b.json": ([{"id": 3}], '<a.json>; rel="next"')}
+    for name, (items, link) in pages.items():
+        (tmp_path / name).write_text(json.dumps({"items": items, "link": link}))
+    spark.dataSource.register(LinkedJson)
+    assert [r["id"] for r in spark.read.format("linkedjson").option("path", str(tmp_path)).option("first", "a.json").load().collect()] == ["1", "2", "3"]
+    for year, month in (("2020", "Dec"), ("2021", "Jan"), ("2021", "Mar")):
+        (tmp_path / "mail" / year / month).mkdir(parents=True)
+        (tmp_path / "mail" / year / month / "1.txt").write_text(f"Subject: {month}\n\nbody")
+    got = readers.mail_archive(spark, str(tmp_path / "mail"), (2020, 11), (2021, 2)).collect()
+    assert sorted((r["year"], r["month"]) for r in got) == [(2020, "Dec"), (2021, "Jan")]
+    assert readers.mail_archive(spark, str(tmp_path / "mail"), (1999, 1), (1999, 2)).count() == 0
+
+
+def test_summaries_and_digests(spark, tmp_path):
+    import hashlib
+    from pathlib import Path
+
+    from ctilake.sources import writers
+
+    rows = [{"c": "b", "n": "x", "v": 2000}, {"c": "a", "n": "y", "v": 3}, {"c": "b", "n": "z", "v": 5}]
+    text = writers.grouped_summary(rows, "c", "n", "v", ["b", "a"])
+    assert text.index("x") < text.index("z") < text.index("y") and "2,005" in text
+    assert "2,005" in writers.grouped_summary(rows, "c", "n", "v", ["b"], latex=True)
+    n, files = writers.digested_jsonl(spark.range(5).coalesce(1), str(tmp_path / "out"))
+    one = files.collect()
+    assert n == 5 and len(one) == 1 and one[0]["sha256"] == hashlib.sha256(Path(one[0]["path"].removeprefix("file:")).read_bytes()).hexdigest()
+    writers.per_query(spark.range(3).withColumnRenamed("id", "q"), str(tmp_path / "runs"), "bm25")
+    assert spark.read.parquet(str(tmp_path / "runs" / "bm25")).count() == 3
+
+
+def test_span_strip_and_model_answers(spark):
+    from ctilake.functions import judge as J
+
+    df = spark.createDataFrame([("say the quick brown fox jumps over", "xx the quick brown fox jumps yy", 'ok {"a": {"b": 1}, "label": "Yes"} end'), ("short", "short", "none"), (None, "x", None)], "q string, g string, m string")
+    got = df.select(J.strip_spans(F.col("q"), F.col("g")), J.task_label(J.json_field(F.col("m"), "label")), J.bool_of(J.json_field(F.col("m"), "label")), J.truncated(F.col("q"), 5)).collect()
+    assert [tuple(r) for r in got] == [("say" + " " * 27 + "over", "1", True, "say t...[truncated]"), ("short", "0", None, "short"), (None, "0", None, None)]
+
+
+def test_every_macro_f1_replicate_has_all_records(spark):
+    from ctilake.operators import metrics as M
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], "ab"[(i // 3) % 2]) for i in range(30)], "k int, y string, p string")
+    r = M.bootstrap_macro_f1(rows, "k", "y", "p", 50).first()
+    assert r["n"] == 30 and r["low"] <= r["macro_f1"] <= r["high"] <= 1
+    s = M.f1_summary(rows.withColumn("s", F.lit("x")), ["s"], "y", "p").first()
+    assert s["macro_f1"] == r["macro_f1"]
