@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ctilake.sources.tables import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
+CELL_BITS = 16
 
 
 def words(text: Column) -> Column:
@@ -31,25 +33,64 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.join(reps, ["h", "g"]).select("key", "class_id")
 
 
+def hashed_sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, s, n): one row for every class of rows with the same words, under its smallest key, with the hashes of its shingles. One scan."""
+    ws = words(F.coalesce(F.col(text), F.lit("")))
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.explode(F.array(ws)).alias("w")).filter(F.size("w") > 0)
+    rows = rows.select("key", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"), F.transform(shingles(F.col("w")), lambda x: F.xxhash64(x)).alias("s"))
+    return rows.groupBy("h", "g").agg(F.min("key").alias("key"), F.first("s").alias("s")).select("key", "s", F.size("s").alias("n"))
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    return np.asarray(lists.flatten(), np.int64), sizes
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        total += np.bincount(_cell(_flat(batch.column(0))[0]), minlength=len(total))
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+
+def _prefixes(common: np.ndarray, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, sizes = _flat(batch.column(1))
+            owner, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            order = np.lexsort((h, common[_cell(h)], owner))
+            at = np.arange(len(h)) - starts[owner]
+            kept = at < (sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1)[owner]
+            keys = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[owner[kept]]), pa.array(sizes[owner[kept]], pa.int32()), pa.array(h[order][kept]), pa.array(at[kept], pa.int32())], ["key", "n", "x", "at"])
+
+    return run
+
+
 def jaccard_edges(df: DataFrame, key: str, text: str, threshold: float = SIMILARITY) -> DataFrame:
     """(a, b, jaccard), a < b: classes of rows whose shingle sets are similar, by an exact join.
 
-    Shingles are ordered by how many classes have them. Two sets that are similar enough must share
-    one of the rarest of either, so only those prefixes are joined; sizes that cannot reach the
-    threshold are dropped in the join, and the rest are verified on whole sets. Rows with the same
-    words are one class before anything is joined.
+    Shingles are ordered by how many of all fall in their cell of hashes, then by hash: any one order
+    serves. Two sets that are similar enough share a shingle of the first few of either, so only those
+    prefixes are shuffled, once; sizes and places that cannot reach the threshold are dropped in the
+    join, and the rest are verified on whole sets.
     """
-    member = classes(df, key, text)
-    reps = member.select(F.col("class_id").alias("key")).distinct()
-    sets = cut(df.select(F.col(key).alias("key"), F.transform(shingles(words(F.coalesce(F.col(text), F.lit("")))), lambda x: F.xxhash64(x)).alias("s")).join(reps, "key").select("key", "s", F.size("s").alias("n")))
-    flat = sets.select("key", "n", F.explode("s").alias("x"))
-    counted = flat.join(flat.groupBy("x").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "x", "left")
-    # shingles of one class alone come first and join nothing
-    ranked = counted.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "x"))).alias("s"))
-    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = ranked.select("key", "n", F.explode(F.filter(F.slice("s", 1, length), lambda p: p.f > 1)).alias("p")).select("key", "n", "p.x")
-    a, b = prefix.select(F.col("key").alias("a"), F.col("n").alias("na"), "x"), prefix.select(F.col("key").alias("b"), F.col("n").alias("nb"), "x")
-    pairs = a.join(b, "x").filter((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("a", "b").distinct()
+    sets = cut(hashed_sets(df, key, text))
+    common = np.zeros(1 << CELL_BITS, np.int64)
+    for cell, n in sets.select("s").mapInArrow(_count_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+        common[cell] = n
+    prefix = cut(sets.select("key", "s").mapInArrow(_prefixes(common, threshold), "key bigint, n int, x bigint, at int"))
+    a, b = (prefix.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), "x", F.col("at").alias(f"p{x}")) for x in "ab")
+    fits = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+    # from the shared shingle on, no more can be common than either set has left, and before it no more than the places before it
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    reach = most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = a.join(b, "x").filter((F.col("a") < F.col("b")) & fits & reach).select("a", "b").distinct()
     whole = lambda side: sets.select(F.col("key").alias(side), F.col("s").alias(f"s{side}"))
     both = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)
@@ -68,21 +109,18 @@ def _simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def simhash_edges(df: DataFrame, key: str, text: str, hamming: int = 3) -> DataFrame:
     """(a, b, distance), a < b: classes whose 64-bit SimHashes differ in at most three bits.
 
-    The hash is cut in four blocks, of which two such hashes share one. Equal hashes are joined
-    once and not four times: a pair counts in its first shared block.
+    The hash is cut in five blocks, two of which such hashes share: ten tables with keys of 26 bits,
+    wide enough that chance pairs stay few. Pairs found in several tables are one.
     """
     if not 0 <= hamming <= 3:
-        raise ValueError("four blocks find distances up to 3")
-    member = classes(df, key, text)
-    reps = member.select(F.col("class_id").alias("key")).distinct()
-    hashed = df.select(F.col(key).cast("bigint").alias("key"), F.transform(shingles(words(F.coalesce(F.col(text), F.lit("")))), lambda x: F.xxhash64(x)).alias("s")).join(reps, "key")
-    sims = cut(hashed.mapInArrow(_simhash, "key bigint, sim bigint"))
-    block = lambda c, i: F.shiftrightunsigned(c, 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keyed = sims.select("key", "sim", F.posexplode(F.array(*[block("sim", i) for i in range(4)])).alias("i", "v"))
-    a, b = keyed.select(F.col("key").alias("a"), F.col("sim").alias("sa"), "i", "v"), keyed.select(F.col("key").alias("b"), F.col("sim").alias("sb"), "i", "v")
+        raise ValueError("two of five blocks find distances up to 3")
+    sims = cut(hashed_sets(df, key, text).select("key", "s").mapInArrow(_simhash, "key bigint, sim bigint"))
+    blocks = [F.shiftrightunsigned("sim", 13 * i).bitwiseAND(F.lit((1 << 13) - 1)) for i in range(5)]
+    keys = F.array(*[F.shiftleft(F.shiftleft(x, 13).bitwiseOR(y), 8).bitwiseOR(F.lit(i)) for i, (x, y) in enumerate(itertools.combinations(blocks, 2))])
+    keyed = sims.select("key", "sim", F.explode(keys).alias("k"))
+    a, b = keyed.select(F.col("key").alias("a"), F.col("sim").alias("sa"), "k"), keyed.select(F.col("key").alias("b"), F.col("sim").alias("sb"), "k")
     d = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-    first = F.when(block("sa", 0) == block("sb", 0), 0).when(block("sa", 1) == block("sb", 1), 1).when(block("sa", 2) == block("sb", 2), 2).otherwise(3)
-    return a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & (d <= hamming) & (F.col("i") == first)).select("a", "b", d.alias("distance"))
+    return a.join(b, "k").filter((F.col("a") < F.col("b")) & (d <= hamming)).select("a", "b", d.alias("distance")).distinct()
 
 
 def greedy_kept(nodes: DataFrame, edges: DataFrame, order: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ctilake.functions import text as X
 from ctilake.functions.common import filled, n_rows
 from ctilake.operators import metrics as M
 from ctilake.operators import retrieval as R
-from ctilake.plans.retrieval import _asked, _corpus, _gold, _scores, rank_tie_bounds
+from ctilake.plans.retrieval import _gold, _scores, rank_tie_bounds
 from ctilake.sources.tables import broadcast_if_small, cut, table
 
 REPLICATES, F1_REPLICATES = 10_000, 2_000
@@ -36,7 +36,7 @@ def _with_vectors(scores: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best ten of the hundred best lexical documents of every query by 0.7 of the cosine and 0.3 of the lexical score, both scaled to 0..1."""
     vectors, n = _vectors(spark, sf_dir)
-    top = cut(R.top_k(_scores(spark, sf_dir, "okapi"), 100))
+    top = cut(R.top_k(_scores(spark, sf_dir, "okapi", 100), 100))
     return R.top_k(_mixed(top.select("q", "d", "score"), vectors, n), 10)
 
 

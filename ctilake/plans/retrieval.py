@@ -13,28 +13,25 @@ from ctilake.sources.tables import table
 
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.postings(table(spark, sf_dir, "ev_pairs"), "pair_id", F.coalesce("vulnerability_text", F.lit("")))
-
-
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.postings(table(spark, sf_dir, "task1_cve_linkage").filter("item_id % 20 = 0"), "item_id", F.coalesce("text", F.lit("")))
-
-
-def _scores(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
-    return R.bm25(_asked(spark, sf_dir), _corpus(spark, sf_dir), variant, k1=1.2 if variant == "smoke" else 1.5)
+def _scores(spark: SparkSession, sf_dir: str, variant: str, keep: int | None = None) -> DataFrame:
+    corpus = table(spark, sf_dir, "ev_pairs").select(F.col("pair_id").alias("key"), F.col("vulnerability_text").alias("text"))
+    asked = table(spark, sf_dir, "task1_cve_linkage").filter("item_id % 20 = 0").select(F.col("item_id").alias("key"), "text")
+    return R.bm25_scores(asked, corpus, variant, k1=1.2 if variant == "smoke" else 1.5, keep=keep)
 
 
 def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_scores(spark, sf_dir, "okapi"), 10)
+    """Ten best vulnerability texts of every query by Okapi BM25."""
+    return R.top_k(_scores(spark, sf_dir, "okapi", 10), 10)
 
 
 def bm25_plus_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_scores(spark, sf_dir, "plus"), 10)
+    """The same with an inverse frequency that is never negative."""
+    return R.top_k(_scores(spark, sf_dir, "plus", 10), 10)
 
 
 def bm25_smoke_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_scores(spark, sf_dir, "smoke"), 10)
+    """The same with each query word once and k1 = 1.2."""
+    return R.top_k(_scores(spark, sf_dir, "smoke", 10), 10)
 
 
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +64,9 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean value of the events of every type with a 95 % interval from 200 resamples of daily means."""
+    """Mean value of the events of every type with a 95 % interval from 10,000 resamples of daily means."""
     daily = table(spark, sf_dir, "events").groupBy("event_type", F.unix_date(F.to_date("ts")).alias("day")).agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("v"))
-    return M.bootstrap_mean(daily, "event_type", "day", "v", 200)
+    return M.bootstrap_mean(daily, "event_type", "day", "v", 10_000)
 
 
 def multiclass_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +140,7 @@ round(avg(case when rank <= 10 then 1.0::double / log2(rank + 1) else 0 end), 6)
     "embedding_topk": """with v as (select vec_id, embedding::double[] as e from embeddings), u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v),
 s as (select a.vec_id as q, b.vec_id as d, round(list_dot_product(a.e, b.e), 6) as score from u a, u b where a.vec_id % 20 = 0) select * from (select q, d, score, row_number() over (partition by q order by score desc, d)::int as place from s) where place <= 10""",
     "bootstrap_ci": """with r as (select event_type as grp, date_diff('day', date '1970-01-01', ts::date) as unit, sum(round(value * 100)::bigint)::bigint as v from events group by 1, 2), k as (select grp, v, row_number() over (partition by grp order by unit) as i, count(*) over (partition by grp) as n from r),
-x as (select k.grp, rep, 1 + ('0x' || substr(md5(k.grp || '|' || rep::varchar || '|' || i::varchar), 1, 8))::bigint % n as pick from k, range(200) t(rep)), m as (select x.grp, rep, sum(k.v)::double / count(*) as mean from x join k on x.grp = k.grp and x.pick = k.i group by 1, 2)
+x as (select k.grp, rep, 1 + ('0x' || substr(md5(k.grp || '|' || rep::varchar || '|' || i::varchar), 1, 8))::bigint % n as pick from k, range(10000) t(rep)), m as (select x.grp, rep, sum(k.v)::double / count(*) as mean from x join k on x.grp = k.grp and x.pick = k.i group by 1, 2)
 select m.grp, round(any_value(a), 4) as mean, round(quantile_cont(m.mean, 0.025), 4) as low, round(quantile_cont(m.mean, 0.975), 4) as high from m join (select grp, sum(v)::double / count(*) as a from r group by 1) a on m.grp = a.grp group by 1""",
     "multiclass_f1": f"""with c as (select label as y, predicted as p, count(*) as n from {_pred} group by 1, 2), k as (select y as class from c union select p from c), t as (select class, coalesce((select sum(n) from c where y = class and p = class), 0)::bigint as tp, coalesce((select sum(n) from c where y = class), 0)::bigint as support, coalesce((select sum(n) from c where p = class), 0)::bigint as predicted from k)
 select class, tp, support, predicted, round(coalesce(tp::double / nullif(predicted, 0), 0), 6) as "precision", round(coalesce(tp::double / nullif(support, 0), 0), 6) as recall, round(coalesce(2.0::double * tp / nullif(support + predicted, 0), 0), 6) as f1 from t""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ctilake.functions.common import filled, n_rows
 from ctilake.functions import text as X
 from ctilake.operators.sampling import balanced, per_stratum, round_robin
-from ctilake.sources.tables import broadcast_if_small, table
+from ctilake.sources.tables import broadcast_if_small, cut, table
 
 
 
@@ -112,7 +112,7 @@ def split_overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocab_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard similarity of the vocabularies of every two document layers; words occur in three rows at least."""
     words = table(spark, sf_dir, "documents").select("source_layer", F.explode(F.array_distinct(X.vocabulary_tokens(filled()))).alias("w"))
-    kept = words.groupBy("source_layer", "w").agg(n_rows().alias("n")).filter("n >= 3")
+    kept = cut(words.groupBy("source_layer", "w").agg(n_rows().alias("n")).filter("n >= 3"))
     sizes = kept.groupBy("source_layer").agg(n_rows().alias("size"))
     by = kept.groupBy("w").agg(F.array_sort(F.collect_set("source_layer")).alias("s"))
     pairs = by.select(F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
