@@ -212,7 +212,39 @@ def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.agg(n_rows().alias("n"), F.count_if(every).alias("aligned"), F.count_if(~every).alias("missing"), *[F.sum(v).alias(f"{v}_sum") for v in runs])
 
 
-QUERIES = {f.__name__: f for f in (hybrid_rerank, hybrid_full, top_k_high_ties, paired_bootstrap, f1_bootstrap, f1_summary, binary_metrics, source_risk, joint_recall, shortcut_diagnostics, strata_metrics, span_strip, last_run, seed_spread, judge_summary, packet_summary, cross_task_overlap, subset_check, aligned_runs)}
+def _features(spark: SparkSession, sf_dir: str, feats) -> tuple[DataFrame, DataFrame]:
+    pairs = table(spark, sf_dir, "ev_pairs").select(F.col("pair_id").alias("key"), feats(F.lower(filled("vulnerability_text"))).alias("feats"))
+    items = table(spark, sf_dir, "task1_cve_linkage").filter("item_id % 20 = 0").select(F.col("item_id").alias("key"), feats(F.lower(filled())).alias("feats"))
+    return items, pairs
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_./:-]+)"), F.lit(1))
+
+
+def _in_words(text: Column) -> Column:
+    """Runs of three to five characters inside words, their blanks at either end included."""
+    padded = F.transform(_words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    runs = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(padded, lambda w: F.concat(runs(w, 3), runs(w, 4), runs(w, 5))))
+
+
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best vulnerability texts of every query by the cosine of TF-IDF over words."""
+    return R.top_k(R.cosine_scores(*_features(spark, sf_dir, _words), keep=10), 10)
+
+
+def count_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by plain counts of words."""
+    return R.top_k(R.cosine_scores(*_features(spark, sf_dir, _words), idf=False, keep=10), 10)
+
+
+def char_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by TF-IDF over runs of characters inside words."""
+    return R.top_k(R.cosine_scores(*_features(spark, sf_dir, _in_words), keep=10), 10)
+
+
+QUERIES = {f.__name__: f for f in (tfidf_topk, count_topk, char_topk, hybrid_rerank, hybrid_full, top_k_high_ties, paired_bootstrap, f1_bootstrap, f1_summary, binary_metrics, source_risk, joint_recall, shortcut_diagnostics, strata_metrics, span_strip, last_run, seed_spread, judge_summary, packet_summary, cross_task_overlap, subset_check, aligned_runs)}
 
 from ctilake.plans.retrieval import _bm25_sql, _gold_sql, _pred, _ranks, _top  # noqa: E402  the SQL of the same scores
 
@@ -226,7 +258,18 @@ _cells = "select {by} y as class, sum(n) filter (y = p) as tp, sum(n) as support
 _pk = "(select pair_id as k, label::varchar as benchmark, pair_id % 7 <> 0 as a_ok, pair_id % 11 <> 0 as b_ok, case when (pair_id * 3) % 5 in (2, 3) then '0' else '1' end as a, case when (pair_id * 7) % 5 in (2, 3) then '0' else '1' end as b, (pair_id * 3) % 9 = 0 as ar, (pair_id * 7) % 9 = 0 as br from ev_pairs)"
 _fp = lambda c: rf"trim(regexp_replace(lower(coalesce({c}, '')), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 _boot = "1 + ('0x' || substr(md5({k}), 1, 8))::bigint % n as pick"
+def _cosine_sql(feats: str, idf: str) -> str:
+    side = lambda t, k, c, f: f"(select {k} as key, ('0x' || substr(md5(x), 1, 8))::bigint % 262144 as b, count(*) as tf from (select {k}, {feats.format(f'lower(coalesce({c}, {chr(39) * 2}))')} as x from {t} {f}) group by 1, 2)"
+    return f"""with d as {side('ev_pairs', 'pair_id', 'vulnerability_text', '')}, q as {side('task1_cve_linkage', 'item_id', 'text', 'where item_id % 20 = 0')}, s as (select count(distinct key)::double as n from d), f as (select b, count(*)::double as df from d group by 1),
+dw as (select d.key, d.b, tf * {idf} as w from d join f on d.b = f.b, s), qw as (select q.key, q.b, tf * {idf} as w from q left join f on q.b = f.b, s), dn as (select key, sqrt(sum(w * w)) as n from dw group by 1), qn as (select key, sqrt(sum(w * w)) as n from qw group by 1),
+h as (select qw.key as q, dw.key as d, round(sum(qw.w * dw.w) / any_value(qn.n) / any_value(dn.n), 6) as score from qw join dw on qw.b = dw.b join dn on dn.key = dw.key join qn on qn.key = qw.key group by 1, 2) {_top('(select * from h where score > 0)')}"""
+
+
+_idf = "(ln((1 + s.n) / (1 + coalesce(f.df, 0))) + 1.0::double)"
 SQL = {
+    "tfidf_topk": _cosine_sql("unnest(regexp_extract_all({}, '[A-Za-z0-9_./:-]+'))", _idf),
+    "count_topk": _cosine_sql("unnest(regexp_extract_all({}, '[A-Za-z0-9_./:-]+'))", "1.0::double"),
+    "char_topk": _cosine_sql("unnest(flatten(list_transform(regexp_extract_all({}, '[A-Za-z0-9_./:-]+'), lambda w: flatten([[substr(' ' || w || ' ', i, n) for i in range(1, length(w) + 4 - n)] for n in [3, 4, 5]]))))", _idf),
     "hybrid_rerank": f"with {_cos}, t as (select * from (with {_bm25_sql('okapi', 1.5)} select * from okapi)), s as (select q, d, score from (select *, row_number() over (partition by q order by score desc, d) as rn from t) where rn <= 100), {_mix} {_top('h')}",
     "hybrid_full": f"with {_cos}, s as (select * from (with {_bm25_sql('okapi', 1.5)} select * from okapi)), {_mix} {_top('h')}",
     "top_k_high_ties": f"with {_bm25_sql('plus', 1.5)} select * from (select q, d, score, row_number() over (partition by q order by score desc, d desc)::int as place from plus) where place <= 10",

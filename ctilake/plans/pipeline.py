@@ -35,6 +35,15 @@ def pipeline_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.temporal_sample(kept, SAMPLE, 12).withColumnRenamed("key", "row_id")
 
 
+def pipeline_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept posts that the near-duplicate filter leaves: the highest scores first, a post goes when one that stays is similar to it."""
+    rows = cut(_candidates(spark, sf_dir))
+    first = P.first_of_texts(rows)
+    texts = cut(first.join(rows.select("key", "text"), "key").select("key", "score", "text"))
+    kept = D.greedy_kept(texts.select("key", "score"), D.minhash_edges(texts, "key", "text"), -F.col("score"))
+    return kept.select(F.col("key").alias("row_id"), "kept")
+
+
 def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, and values at 5 and 95 % of the sorted row, of words by source, from the histogram of counts."""
     counts = table(spark, sf_dir, "documents").select("source", X.word_count(filled()).alias("words")).groupBy("source", "words").agg(n_rows().alias("n"))
@@ -175,7 +184,7 @@ def entities_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.join(kept, "key").select("forum_id", "host", "key")
 
 
-QUERIES = {f.__name__: f for f in (pipeline_stages, pipeline_sample, token_profile, near_dup_estimate, dedup_file_stats, source_priorities, fuzzy_stats_match, thread_positions, selected_forums, length_gate, prefix_dedup, natural_id_dedup, first_rows, subsample, balanced_with_fill, query_corpus_sample, token_sample, entities_once)}
+QUERIES = {f.__name__: f for f in (pipeline_stages, pipeline_sample, pipeline_near_dedup, token_profile, near_dup_estimate, dedup_file_stats, source_priorities, fuzzy_stats_match, thread_positions, selected_forums, length_gate, prefix_dedup, natural_id_dedup, first_rows, subsample, balanced_with_fill, query_corpus_sample, token_sample, entities_once)}
 
 _strip = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0B]{{2,}}', ' ', 'g'), ' ')"""
 _iso = lambda c: rf"case when regexp_matches(substr({c}, 1, 10), '^\d{{4}}-\d{{2}}-\d{{2}}$') then try_cast(substr({c}, 1, 10) as date) end"

@@ -472,3 +472,30 @@ def test_every_macro_f1_replicate_has_all_records(spark):
     assert r["n"] == 30 and r["low"] <= r["macro_f1"] <= r["high"] <= 1
     s = M.f1_summary(rows.withColumn("s", F.lit("x")), ["s"], "y", "p").first()
     assert s["macro_f1"] == r["macro_f1"]
+
+
+def test_minhash_filter_equals_the_loop(spark):
+    import random
+
+    from ctilake.operators import neardup as D
+
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(120)) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        t = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 14)):
+            t[rnd.randrange(len(t))] = "z"
+        rows.append((i, "".join(t), rnd.randint(0, 3)))
+    rows += [(100, "ab", 1), (101, None, 1), (102, "", 1), (103, "q" * 20_000, 0), (104, "q" * 20_000, 5)]
+    grams = {k: {t[i : i + 3] for i in range(len(t) - 2)} for k, t, _ in rows if t}
+    alike = lambda x, y: bool(grams.get(x)) and bool(grams.get(y)) and len(grams[x] & grams[y]) >= 0.7 * len(grams[x] | grams[y])
+    df = spark.createDataFrame(rows, "key bigint, text string, score int")
+    edges = D.minhash_edges(df, "key", "text")
+    assert {tuple(r) for r in edges.collect()} == {(x, y) for x in grams for y in grams if x < y and alike(x, y)}
+    stay = []
+    for k, _, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if not any(alike(k, s) for s in stay):
+            stay.append(k)
+    assert {r["key"] for r in D.greedy_kept(df.select("key", "score"), edges, -F.col("score")).filter("kept").collect()} == set(stay)
+    assert D.minhash_edges(df.limit(0), "key", "text").count() == 0
