@@ -297,6 +297,33 @@ def test_labels_spread_to_near_duplicates(spark):
     assert sorted(r["key"] for r in residue.residue(frame(spark, rows), "id", "text").collect()) == [1, 2, 3]
 
 
+# Notices that no seed covers.
+HELD_OUT = [
+    "Das Forum ist wegen Wartungsarbeiten geschlossen.", "Die angeforderte Seite wurde nicht gefunden.", "Le forum est en maintenance.", "Veuillez activer JavaScript pour afficher cette page.", "La pagina richiesta non è stata trovata.", "Il forum è chiuso per manutenzione.",
+    "El foro está cerrado por mantenimiento.", "Este foro necesita que los scripts estén permitidos.", "A página solicitada não foi encontrada.", "Форум закрыт на техническое обслуживание.", "Для работы форума нужны скрипты и cookies.", "Bu konuyu görmek için giriş yapmalısınız.", "您访问的页面不存在。", "论坛正在维护，请稍后再试。",
+    "You must be logged in to read posts in this section.", "Your session has expired.", "We need to make sure you are not a robot.", "Rate limit exceeded, slow down.", "Gateway timeout while waiting for the upstream host.", "Attachment and post could not be loaded.",
+]
+
+
+def test_held_out_notices_are_learned(spark):
+    assert not any(residue.covered(x) for x in HELD_OUT)
+    rnd = random.Random(12)
+    furniture = ["Home | Forums | Search | Members", "Terms of use", "Generated in 0.021 s", "Back to index", "404 Not Found", "Register | Log in", "Powered by Board 4.12"]
+    rows, notices, posts = [], set(), set()
+    for i, notice in enumerate(HELD_OUT):
+        for v in range(6):
+            parts = [rnd.choice(furniture), notice, *rnd.sample(HELD_OUT, v % 2), rnd.choice(furniture)] if v else [notice]
+            rows.append((100 * i + v, rnd.choice(["\n", " ", "\n\n"]).join(parts)))
+            notices.add(100 * i + v)
+    for i in range(200):
+        rows.append((10_000 + i, f"The handler x{i} trusts its length field. {rnd.choice(HELD_OUT) if i % 4 == 0 else 'Thanks in advance.'} Any idea about module{i}?"))
+        posts.add(10_000 + i)
+    rows += [(20_000 + i, "Thanks in advance.") for i in range(30)]
+    trusted, _, found = ({r["key"] for r in t.collect()} for t in residue.stages(frame(spark, rows), "id", "text"))
+    assert not trusted & notices and not found & posts
+    assert len(found & notices) >= 0.95 * len(notices) and not found - notices
+
+
 def spread_by_brute_force(rows):
     """Keys reached from trusted bodies over pairs that are similar enough, every pair compared."""
     sets = {k: residue.shingles(residue.masked(t)) for k, t in rows}
