@@ -71,7 +71,7 @@ class Passages:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> dict[int, tuple[int, int]]:
-        """Items of which WORDS consecutive words stand in ``text``: {item: (first word, words) of the longest passage}."""
+        """Items of which WORDS consecutive words stand in ``text``: {item: (first word, words) of the longest passage, the first of several}."""
         names = words(text)
         if len(names) < WORDS or not self.any:
             return {}
@@ -96,7 +96,7 @@ class Passages:
                     b += 1
                 if b - a >= WORDS:
                     tried.add((i, place - at))
-                    if b - a > found.get(i, (0, 0))[1]:
+                    if (b - a, -a) > (found[i][1], -found[i][0]) if i in found else True:
                         found[i] = (a, b - a)
         return found
 

@@ -148,5 +148,16 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.join(broadcast_if_small(table(spark, sf_dir, "pack_specs")), "spec_id").select("spec_id", "capacity", "containers", "pieces", "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4).alias("used"))
 
 
-QUERIES = {"p9_packed": p9_packed, "p9_fill": p9_fill}
-SQL: dict[str, str] = {}
+def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing keeps: all documents placed, none with a gap or an overlap between its pieces, none divided that fits, no container above its capacity."""
+    packed = p9_packed(spark, sf_dir).join(broadcast_if_small(table(spark, sf_dir, "pack_specs").select("spec_id", "capacity")), "spec_id")
+    each = packed.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count_distinct("start").alias("starts"), F.max("capacity").alias("capacity"))
+    wrong = (F.col("n") != F.col("end")) | (F.col("starts") != F.col("pieces"))
+    divided = (F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))
+    documents = each.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(wrong).alias("broken"), F.count_if(divided).alias("divided_that_fit"))
+    over = packed.groupBy("spec_id", "bin_part", "bin").agg((F.sum("n_tokens") > F.max("capacity")).alias("over")).groupBy("spec_id").agg(F.count_if("over").alias("overfull"))
+    return documents.join(over, "spec_id")
+
+
+QUERIES = {"p9_packed": p9_packed, "p9_fill": p9_fill, "p9_whole": p9_whole}
+SQL = {"p9_whole": "select spec_id, (select count(*) from documents) as documents, 0::bigint as broken, 0::bigint as divided_that_fit, 0::bigint as overfull from pack_specs where capacity > 0"}
