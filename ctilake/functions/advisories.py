@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 MAIL_HEADERS = r"(?is)\A(?:(?:from|to|cc|date|subject|message-id|reply-to|list-id|in-reply-to|content-type|mime-version)\s*:[^\n]*\n(?:[ \t]+[^\n]*\n)*)+[ \t]*\n?"
 # Line breaks and entities of listing pages, in the order they are replaced.
 LISTING_TEXT = [("<br>", "\n"), ("<br/>", "\n"), ("<br />", "\n"), ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+AUTHOR_NOISE = [r"<[^>]+>", r"\([^)]*\)", r"=\?[^?]+\?[BbQq]\?[^?]+\?="]  # fixed values: address, comment and encoded word beside an author's name
 KEV_SOURCE = "[Source: CISA Known Exploited Vulnerabilities Catalog]"  # fixed value: the closing line of the feed's texts
 
 
@@ -37,7 +38,7 @@ def header_field(text: Column, field: str) -> Column:
 
 def author_name(raw: Column) -> Column:
     """Name without address, comment and encoded words; ``unknown`` where nothing is left."""
-    for p in (r"<[^>]+>", r"\([^)]*\)", r"=\?[^?]+\?[BbQq]\?[^?]+\?="):
+    for p in AUTHOR_NOISE:
         raw = trimmed(F.regexp_replace(raw, p, ""))
     return F.when(F.coalesce(raw, F.lit("")) == "", "unknown").otherwise(raw)
 
@@ -94,7 +95,7 @@ def cards(page: Column) -> Column:
 
 
 def kev_text(name: Column, vendor: Column, product: Column, short: Column, action: Column, ransomware: Column, cwes: Column) -> Column:
-    """Text of a known exploited vulnerability: the sections that have something to say, in order."""
+    """Text of a known exploited vulnerability: the sections that have something to say, in order, under fixed headings."""
     filled = lambda c: c.isNotNull() & (c != "")
     affected = F.trim(F.concat_ws(" ", F.coalesce(vendor, F.lit("")), F.coalesce(product, F.lit(""))))
     parts = [F.when(filled(name), name), F.when(filled(vendor) | filled(product), F.concat(F.lit("Affected: "), affected)), F.when(filled(short), short), F.when(filled(action), F.concat(F.lit("Required Action: "), action)),

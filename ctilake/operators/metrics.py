@@ -36,13 +36,14 @@ def class_f1(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Observed agreement, Cohen's kappa, Gwet's AC1 and PABAK of two raters."""
+    """Observed agreement, Cohen's kappa, Krippendorff's alpha for names, Gwet's AC1 and PABAK of two raters."""
     m = _margins(rows, a, b)
     total = m.agg(F.sum("support").alias("n"), F.sum("tp").alias("same"))
     half = (F.col("support") + F.col("predicted")) / 2.0 / F.col("n")
-    s = m.crossJoin(F.broadcast(total)).agg(F.max("n").alias("n"), F.max("same").alias("same"), F.sum(F.col("support").cast("double") * F.col("predicted")).alias("ab"), F.sum(half * (1 - half)).alias("g"), n_rows().alias("k"))
+    s = m.crossJoin(F.broadcast(total)).agg(F.max("n").alias("n"), F.max("same").alias("same"), F.sum(F.col("support").cast("double") * F.col("predicted")).alias("ab"), F.sum(half * (1 - half)).alias("g"), n_rows().alias("k"), F.sum((F.col("support") + F.col("predicted")).cast("double") * (F.col("support") + F.col("predicted") - 1)).alias("cc"))
     o, e, g, k = F.col("same") / F.col("n"), F.col("ab") / F.col("n") / F.col("n"), F.col("g") / (F.col("k") - 1), F.col("k")
-    return s.select("n", F.round(o, 6).alias("observed"), F.round(F.try_divide(o - e, 1 - e), 6).alias("kappa"), F.round(F.try_divide(o - g, 1 - g), 6).alias("ac1"), F.round(F.try_divide(k * o - 1, k - 1), 6).alias("pabak"))
+    alike = F.try_divide("cc", 2.0 * F.col("n") * (2 * F.col("n") - 1))
+    return s.select("n", F.round(o, 6).alias("observed"), F.round(F.try_divide(o - e, 1 - e), 6).alias("kappa"), F.round(1 - F.try_divide(1 - o, 1 - alike), 6).alias("alpha"), F.round(F.try_divide(o - g, 1 - g), 6).alias("ac1"), F.round(F.try_divide(k * o - 1, k - 1), 6).alias("pabak"))
 
 
 def auc(rows: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:

@@ -60,6 +60,9 @@ def zone_scores(df: DataFrame, value: str, sources: DataFrame, source: str, not_
     within runs of SEQUENCE of them). Rows are pre-aggregated by (source, candidate) on the map side.
     """
     null = F.lit(None).cast("long")
+    if only_missing:  # before anything is read: most rows have a zone
+        declared = sources.filter(T.is_known_zone("tz")).select(F.col(source).alias("_declared"))
+        df = df.join(broadcast_if_small(declared), df[source] == F.col("_declared"), "left_anti")
     df = df.select(F.col(source).alias("source"), F.col(value).alias("value"), (null if not_before is None else not_before).alias("_low"), (null if not_after is None else not_after).alias("_high"), (null if order is None else order).cast("long").alias("_order_no"))
     rows = _read(df, "value", sources.withColumnRenamed(source, "source"), "source")
     if only_missing:

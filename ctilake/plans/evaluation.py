@@ -11,6 +11,8 @@ from ctilake.functions import text as X
 from ctilake.functions.common import filled, n_rows
 from ctilake.operators import metrics as M
 from ctilake.operators import retrieval as R
+from ctilake.operators.sampling import round_robin
+from ctilake.plans.corpus import dedup_source_stats
 from ctilake.plans.retrieval import _gold, _scores, rank_tie_bounds
 from ctilake.sources.tables import broadcast_if_small, cut, table
 
@@ -212,6 +214,31 @@ def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.agg(n_rows().alias("n"), F.count_if(every).alias("aligned"), F.count_if(~every).alias("missing"), *[F.sum(v).alias(f"{v}_sum") for v in runs])
 
 
+def tie_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean reciprocal rank over all queries by the decided, the best and the worst rank among ties, with recall at ten of each and the number of ties."""
+    items = table(spark, sf_dir, "task1_cve_linkage").filter("item_id % 20 = 0").select(F.col("item_id").alias("q"))
+    r = items.join(rank_tie_bounds(spark, sf_dir), "q", "left")
+    mean = lambda c, n: F.round(F.avg(F.when(F.col(c).isNotNull(), 1 / F.col(c)).otherwise(0.0)), 6).alias(n)
+    hit = lambda c, n: F.round(F.avg(F.when(F.col(c) <= 10, 1.0).otherwise(0.0)), 6).alias(n)
+    return r.agg(n_rows().alias("n"), mean("rank", "mrr"), mean("rank_opt", "mrr_opt"), mean("rank_pes", "mrr_pes"), hit("rank", "r10"), hit("rank_opt", "r10_opt"), hit("rank_pes", "r10_pes"), F.count_if(F.col("rank_pes") > F.col("rank_opt")).alias("ties"))
+
+
+def three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by source as a run reported them, as the posts hold them and as deduplication leaves them, with tolerance flags."""
+    stats = table(spark, sf_dir, "unified_stats").groupBy("source_dataset").agg(F.sum("input_rows").alias("reported"), F.sum("written_rows").alias("reported_written"))
+    ours = dedup_source_stats(spark, sf_dir).select("source_dataset", F.col("input_rows").alias("held"), F.col("written_rows").alias("written"))
+    out = stats.join(ours, "source_dataset", "full").select("source_dataset", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("reported", "held", "reported_written", "written")])
+    return out.withColumn("rows_agree", F.abs(F.col("reported") - F.col("held")) <= 0.01 * F.col("held")).withColumn("written_agree", F.abs(F.col("reported_written") - F.col("written")) <= 0.05 * F.col("written"))
+
+
+def manual_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packet of sixty records to be judged by hand, drawn in turn from every split and label, with audit ids."""
+    rows = table(spark, sf_dir, "task2_exploit_type").select("rec_id", "label", F.col("_split").alias("split"), F.concat_ws("/", "_split", "label").alias("stratum"))
+    drawn = round_robin(rows, "stratum", "rec_id", 60)
+    place = F.row_number().over(W.orderBy("turn", "stratum"))  # sixty rows
+    return drawn.select(F.concat(F.lit("A"), F.lpad(place.cast("string"), 4, "0")).alias("audit_id"), "rec_id", "split", F.col("label").alias("benchmark_label"), F.lit("").alias("annotator_label"))
+
+
 def _features(spark: SparkSession, sf_dir: str, feats) -> tuple[DataFrame, DataFrame]:
     pairs = table(spark, sf_dir, "ev_pairs").select(F.col("pair_id").alias("key"), feats(F.lower(filled("vulnerability_text"))).alias("feats"))
     items = table(spark, sf_dir, "task1_cve_linkage").filter("item_id % 20 = 0").select(F.col("item_id").alias("key"), feats(F.lower(filled())).alias("feats"))
@@ -244,7 +271,7 @@ def char_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(R.cosine_scores(*_features(spark, sf_dir, _in_words), keep=10), 10)
 
 
-QUERIES = {f.__name__: f for f in (tfidf_topk, count_topk, char_topk, hybrid_rerank, hybrid_full, top_k_high_ties, paired_bootstrap, f1_bootstrap, f1_summary, binary_metrics, source_risk, joint_recall, shortcut_diagnostics, strata_metrics, span_strip, last_run, seed_spread, judge_summary, packet_summary, cross_task_overlap, subset_check, aligned_runs)}
+QUERIES = {f.__name__: f for f in (tie_summary, three_way, manual_packet, tfidf_topk, count_topk, char_topk, hybrid_rerank, hybrid_full, top_k_high_ties, paired_bootstrap, f1_bootstrap, f1_summary, binary_metrics, source_risk, joint_recall, shortcut_diagnostics, strata_metrics, span_strip, last_run, seed_spread, judge_summary, packet_summary, cross_task_overlap, subset_check, aligned_runs)}
 
 from ctilake.plans.retrieval import _bm25_sql, _gold_sql, _pred, _ranks, _top  # noqa: E402  the SQL of the same scores
 
@@ -267,6 +294,12 @@ h as (select qw.key as q, dw.key as d, round(sum(qw.w * dw.w) / any_value(qn.n)
 
 _idf = "(ln((1 + s.n) / (1 + coalesce(f.df, 0))) + 1.0::double)"
 SQL = {
+    "tie_summary": f"""with {_ranks} select count(*) as n, round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr, round(avg(coalesce(1.0::double / rank_opt, 0)), 6) as mrr_opt, round(avg(coalesce(1.0::double / rank_pes, 0)), 6) as mrr_pes, round(avg(coalesce((rank <= 10)::int, 0)), 6) as r10, round(avg(coalesce((rank_opt <= 10)::int, 0)), 6) as r10_opt, round(avg(coalesce((rank_pes <= 10)::int, 0)), 6) as r10_pes,
+count(*) filter (rank_pes > rank_opt) as ties from task1_cve_linkage i left join r on i.item_id = r.q where item_id % 20 = 0""",
+    "three_way": f"""with r as (select post_key, source_dataset, nullif({_fp('text')}, '') as n from forum_posts), f as (select arg_min(source_dataset, post_key) as source_dataset from r where n is not null group by n), w as (select source_dataset, count(*) as w from f group by 1), h as (select r.source_dataset, count(*) as h from r group by 1),
+s as (select source_dataset, sum(input_rows)::bigint as i, sum(written_rows)::bigint as o from unified_stats group by 1), j as (select coalesce(s.source_dataset, h.source_dataset) as source_dataset, coalesce(i, 0) as reported, coalesce(h, 0) as held, coalesce(o, 0) as reported_written, coalesce(w, 0) as written from s full join h on s.source_dataset = h.source_dataset left join w on w.source_dataset = h.source_dataset)
+select *, abs(reported - held) <= 0.01 * held as rows_agree, abs(reported_written - written) <= 0.05 * written as written_agree from j""",
+    "manual_packet": "with k as (select rec_id, label, _split, concat_ws('/', _split, label) as stratum, row_number() over (partition by concat_ws('/', _split, label) order by md5('42|' || rec_id::varchar), rec_id) as turn from task2_exploit_type), p as (select *, row_number() over (order by turn, stratum) as place from k) select 'A' || lpad(place::varchar, 4, '0') as audit_id, rec_id, _split as split, label as benchmark_label, '' as annotator_label from p where place <= 60",
     "tfidf_topk": _cosine_sql("unnest(regexp_extract_all({}, '[A-Za-z0-9_./:-]+'))", _idf),
     "count_topk": _cosine_sql("unnest(regexp_extract_all({}, '[A-Za-z0-9_./:-]+'))", "1.0::double"),
     "char_topk": _cosine_sql("unnest(flatten(list_transform(regexp_extract_all({}, '[A-Za-z0-9_./:-]+'), lambda w: flatten([[substr(' ' || w || ' ', i, n) for i in range(1, length(w) + 4 - n)] for n in [3, 4, 5]]))))", _idf),

@@ -17,6 +17,7 @@ BLOCKED_FORUMS = ("brinbase", "ombhive")
 SAMPLE = 200
 # Priorities of sources in the order in which names are tried, and other names of a forum.
 PRIORITIES = [("exploit_archive", 5), ("advisory_db", 4), ("nvdlike", 4), ("bounty_reports", 3), ("fix_commits", 2), ("packet", 2)]
+PROFILES = [("board", 3), ("hive", 1), ("den", 4), ("norhive", 5)]
 ALIASES = {"norloft1": "norhive", "velmhive1": "velmhive", "tarkhive1": "tarkhive"}
 
 
@@ -96,6 +97,14 @@ def source_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("source", out.alias("priority"))
 
 
+def forum_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl delay of every forum: of the last profile whose term its id or name holds, else two."""
+    out = F.lit(2)
+    for term, delay in PROFILES:
+        out = F.when(F.lower("forum_id").contains(term) | F.lower("forum_name").contains(term), delay).otherwise(out)
+    return table(spark, sf_dir, "forums").select("forum_id", out.alias("delay"))
+
+
 def fuzzy_stats_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document source the first run statistic whose name holds it or that it holds: two small dimensions compared by name."""
     stats = table(spark, sf_dir, "unified_stats").groupBy("source_dataset").agg(F.sum("written_rows").alias("written"))
@@ -184,7 +193,7 @@ def entities_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.join(kept, "key").select("forum_id", "host", "key")
 
 
-QUERIES = {f.__name__: f for f in (pipeline_stages, pipeline_sample, pipeline_near_dedup, token_profile, near_dup_estimate, dedup_file_stats, source_priorities, fuzzy_stats_match, thread_positions, selected_forums, length_gate, prefix_dedup, natural_id_dedup, first_rows, subsample, balanced_with_fill, query_corpus_sample, token_sample, entities_once)}
+QUERIES = {f.__name__: f for f in (pipeline_stages, pipeline_sample, pipeline_near_dedup, token_profile, near_dup_estimate, dedup_file_stats, source_priorities, forum_profiles, fuzzy_stats_match, thread_positions, selected_forums, length_gate, prefix_dedup, natural_id_dedup, first_rows, subsample, balanced_with_fill, query_corpus_sample, token_sample, entities_once)}
 
 _strip = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0B]{{2,}}', ' ', 'g'), ' ')"""
 _iso = lambda c: rf"case when regexp_matches(substr({c}, 1, 10), '^\d{{4}}-\d{{2}}-\d{{2}}$') then try_cast(substr({c}, 1, 10) as date) end"
@@ -202,6 +211,7 @@ select row_id, spell, score::int as score from q where n <= 200 or place <= grea
     "dedup_file_stats": f"""with r as (select post_key, source_dataset, case p.forum_id when 'norloft1' then 'norhive' when 'velmhive1' then 'velmhive' when 'tarkhive1' then 'tarkhive' else p.forum_id end as forum, md5({_norm('substr(text, 1, 400)')}) as fp, case when source_layer = 'exploit_archive' then 3 else 1 end as p from forum_posts p left join forums f on p.forum_id = f.forum_id where length(trim(text, ' ')) >= 20),
 k as (select *, row_number() over (partition by forum, fp order by p desc, post_key) as rn from r) select source_dataset, count(*) as before, count(*) filter (rn > 1) as removed, count(*) filter (rn = 1) as after from k group by 1""",
     "source_priorities": "select distinct source, case source when 'exploit_archive' then 5 when 'advisory_db' then 4 when 'nvdlike' then 4 when 'bounty_reports' then 3 when 'fix_commits' then 2 when 'packet' then 2 else case " + " ".join(f"when starts_with(source, '{n}') or starts_with('{n}', source) then {p}" for n, p in PRIORITIES) + " else 1 end end as priority from documents",
+    "forum_profiles": "select forum_id, case " + " ".join(f"when contains(lower(forum_id), '{t}') or contains(lower(forum_name), '{t}') then {d}" for t, d in (("norhive", 5), ("den", 4), ("hive", 1), ("board", 3))) + " else 2 end as delay from forums",
     "fuzzy_stats_match": "with s as (select source_dataset, sum(written_rows)::bigint as written from unified_stats group by 1) select source, source_dataset, written from (select d.source, s.*, row_number() over (partition by d.source order by source_dataset) as rn from (select distinct source from documents) d join s on contains(d.source, source_dataset) or contains(source_dataset, d.source)) where rn = 1",
     "thread_positions": "select row_id, (row_number() over (partition by forum_id, thread_id order by coalesce(post_index, 2147483647), row_id) - 1)::int as position from raw_posts where thread_id is not null",
     "selected_forums": "select forum_id, engine, (row_number() over (order by list_position(['phpbb', 'discourse', 'mybb'], engine), forum_id))::int as rank from forums where engine in ('phpbb', 'discourse', 'mybb')",

@@ -76,7 +76,7 @@ def multiclass_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of the cascade with the label: observed, Cohen's kappa, AC1 and PABAK."""
+    """Agreement of the cascade with the label: observed, Cohen's kappa, Krippendorff's alpha, AC1 and PABAK."""
     rows = table(spark, sf_dir, "task2_exploit_type").select("label", F.coalesce(X.title_class(F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^\n]*)", 1)), F.lit("none")).alias("predicted"))
     return M.agreement(rows, "label", "predicted")
 
@@ -145,8 +145,8 @@ select m.grp, round(any_value(a), 4) as mean, round(quantile_cont(m.mean, 0.025)
     "multiclass_f1": f"""with c as (select label as y, predicted as p, count(*) as n from {_pred} group by 1, 2), k as (select y as class from c union select p from c), t as (select class, coalesce((select sum(n) from c where y = class and p = class), 0)::bigint as tp, coalesce((select sum(n) from c where y = class), 0)::bigint as support, coalesce((select sum(n) from c where p = class), 0)::bigint as predicted from k)
 select class, tp, support, predicted, round(coalesce(tp::double / nullif(predicted, 0), 0), 6) as "precision", round(coalesce(tp::double / nullif(support, 0), 0), 6) as recall, round(coalesce(2.0::double * tp / nullif(support + predicted, 0), 0), 6) as f1 from t""",
     "kappa": f"""with c as (select label as y, predicted as p, count(*) as n from {_pred} group by 1, 2), k as (select y as class from c union select p from c), n as (select sum(n)::double as n, sum(n) filter (y = p)::double as same from c),
-m as (select class, coalesce((select sum(n) from c where y = class), 0)::double as a, coalesce((select sum(n) from c where p = class), 0)::double as b from k), e as (select sum(a * b) as ab, sum((a + b) / 2 / n.n * (1 - (a + b) / 2 / n.n)) as g, count(*) as k from m, n)
-select n.n::bigint as n, round(same / n.n, 6) as observed, round((same / n.n - ab / n.n / n.n) / (1 - ab / n.n / n.n), 6) as kappa, round((same / n.n - g / (k - 1)) / (1 - g / (k - 1)), 6) as ac1, round((k * same / n.n - 1) / (k - 1), 6) as pabak from n, e""",
+m as (select class, coalesce((select sum(n) from c where y = class), 0)::double as a, coalesce((select sum(n) from c where p = class), 0)::double as b from k), e as (select sum(a * b) as ab, sum((a + b) / 2 / n.n * (1 - (a + b) / 2 / n.n)) as g, count(*) as k, sum((a + b) * (a + b - 1)) as cc from m, n)
+select n.n::bigint as n, round(same / n.n, 6) as observed, round((same / n.n - ab / n.n / n.n) / (1 - ab / n.n / n.n), 6) as kappa, round(1 - (1 - same / n.n) / (1 - cc / (2 * n.n * (2 * n.n - 1))), 6) as alpha, round((same / n.n - g / (k - 1)) / (1 - g / (k - 1)), 6) as ac1, round((k * same / n.n - 1) / (k - 1), 6) as pabak from n, e""",
     "binary_auc": f"""with r as (select label, {_act} as s from ev_pairs), c as (select s, count(*) filter (label = 1) as p, count(*) filter (label = 0) as n from r group by 1), u as (select *, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding), 0) as below from c)
 select sum(p)::bigint as positives, sum(n)::bigint as negatives, round(sum(p * (below + n / 2.0::double)) / (sum(p) * sum(n)), 6) as auc from u""",
     "seed_aggregate": "with s as (select event_type, user_id % 5 as seed, sum(round(value * 100)::bigint)::double / count(*) as m from events group by 1, 2) select event_type, round(avg(m), 4) as mean, round(coalesce(stddev_samp(m), 0), 4) as sd, count(*) as seeds from s group by 1",

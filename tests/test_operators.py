@@ -499,3 +499,24 @@ def test_minhash_filter_equals_the_loop(spark):
             stay.append(k)
     assert {r["key"] for r in D.greedy_kept(df.select("key", "score"), edges, -F.col("score")).filter("kept").collect()} == set(stay)
     assert D.minhash_edges(df.limit(0), "key", "text").count() == 0
+
+
+def test_simhash_edges_against_all_pairs(spark):
+    import random
+
+    from ctilake.operators import neardup as D
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=4))
+    base = [[word() for _ in range(300)] for _ in range(4)]
+    rows = []
+    for i in range(60):
+        t = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = word()
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows + [(100, None), (101, ""), (102, rows[0][1].upper())], "key bigint, text string")
+    sims = {r["key"]: r["sim"] for r in D.hashed_sets(df, "key", "text").select("key", "s").mapInArrow(D._simhash, "key bigint, sim bigint").collect()}
+    d = lambda a, b: bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1")
+    want = {(a, b, d(a, b)) for a in sims for b in sims if a < b and d(a, b) <= 3}
+    assert {tuple(r) for r in D.simhash_edges(df, "key", "text").collect()} == want and len(want) > 20
