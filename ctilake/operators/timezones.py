@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ctilake.functions import timestamps as T
+from ctilake.functions.text import iso_timestamp
 from ctilake.sources.tables import broadcast_if_small, collected_if_small
 
 PRIOR = "UTC"
@@ -34,19 +35,13 @@ def _read(df: DataFrame, value: str, sources: DataFrame, source: str) -> DataFra
     return rows.withColumn("_local", T.wall_clock_us(F.col("_f"))).withColumn("_zone", F.nullif(F.col("_f")[8], F.lit(""))).withColumn("_offset", T.explicit_offset_us(F.col("_zone")))
 
 
-def known_instant(value: Column) -> Column:
-    """Instant of a value that names its zone itself, in microseconds; null for any other."""
-    v = T.tidy(value)
-    f = T.fields(v, F.lit("dmy"))
-    return F.coalesce(T.epoch_us(v), T.wall_clock_us(f) - T.explicit_offset_us(F.nullif(f[8], F.lit(""))))
-
-
 def earliest_instant(value: Column) -> Column:
-    """The earliest instant that a value can mean in any zone, in microseconds, whatever the session's zone is."""
-    v = T.tidy(value)
-    f = T.fields(v, F.lit("dmy"))
-    day_first = F.regexp_like(v, F.lit(r"^\d{1,2}[-/.]\d{1,2}[-/.]"))  # which number is the day is not known
-    return F.coalesce(known_instant(value), F.when(~day_first, T.wall_clock_us(f) - 14 * 3_600_000_000))
+    """The earliest instant that a Unix time or an ISO value can mean in any zone, in microseconds, whatever the session's zone is; null for other notations.
+
+    The bounds of other columns need no more than that; the whole reader would make the plan a multiple of its size.
+    """
+    named = value.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.coalesce(T.epoch_us(value), F.unix_micros(iso_timestamp(value)) - F.when(named, 0).otherwise(14 * 3_600_000_000))
 
 
 def zone_scores(df: DataFrame, value: str, sources: DataFrame, source: str, not_before: Column | None = None, not_after: Column | None = None, order: Column | None = None, only_missing: bool = False) -> DataFrame:
@@ -60,15 +55,14 @@ def zone_scores(df: DataFrame, value: str, sources: DataFrame, source: str, not_
     within runs of SEQUENCE of them). Rows are pre-aggregated by (source, candidate) on the map side.
     """
     null = F.lit(None).cast("long")
+    named = collected_if_small(sources.filter(T.is_known_zone("tz")).select(F.col(source).alias("_named"), "tz"))
     if only_missing:  # before anything is read: most rows have a zone
-        declared = sources.filter(T.is_known_zone("tz")).select(F.col(source).alias("_declared"))
-        df = df.join(broadcast_if_small(declared), df[source] == F.col("_declared"), "left_anti")
+        df = df.join(named.select("_named"), df[source] == F.col("_named"), "left_anti")
     df = df.select(F.col(source).alias("source"), F.col(value).alias("value"), (null if not_before is None else not_before).alias("_low"), (null if not_after is None else not_after).alias("_high"), (null if order is None else order).cast("long").alias("_order_no"))
     rows = _read(df, "value", sources.withColumnRenamed(source, "source"), "source")
     if only_missing:
         rows = rows.filter(F.col("_tz").isNull())
-    named = sources.select("tz").filter(T.is_known_zone("tz")).distinct()
-    declared = {r[0] for r in named.collect()} - {PRIOR}  # at most the zones that the JVM knows
+    declared = {r[0] for r in named.select("tz").distinct().collect()} - {PRIOR}  # at most the zones that the JVM knows
     ranked = [(PRIOR, 0), *[(z, 1) for z in sorted(declared)], *[(z, 2) for z in COMMON if z not in declared]]
     rows = rows.select("source", "_tz", "_local", "_offset", "_zone", "_low", "_high", "_order_no", F.coalesce("_epoch", F.col("_local") - F.col("_offset")).alias("_known"))
     if order is not None:
@@ -77,7 +71,7 @@ def zone_scores(df: DataFrame, value: str, sources: DataFrame, source: str, not_
         rows = rows.withColumn("_prev", before).withColumn("_next", behind)
         # where known instants themselves do not follow the order it says nothing
         rows = rows.withColumn("_low", F.greatest("_low", F.when(F.col("_prev") <= F.col("_next"), F.col("_prev")))).withColumn("_high", F.least("_high", F.when(F.col("_prev") <= F.col("_next"), F.col("_next"))))
-    rows = rows.withColumn("_z", F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), F.lit(r).alias("rank")) for z, r in ranked]))).select("*", "_z.zone", "_z.rank")
+    rows = rows.withColumn("_z", F.explode(F.expr("array(" + ", ".join(f"named_struct('zone', '{z}', 'rank', {r})" for z, r in ranked) + ")"))).select("*", "_z.zone", "_z.rank")
     instant = T.local_to_utc_us(F.col("_local"), F.col("zone"))
     explicit = F.col("_offset").isNotNull() & (F.col("_offset") != 0)
     bounded = F.col("_zone").isNull() & (F.col("_low").isNotNull() | F.col("_high").isNotNull())
