@@ -520,3 +520,30 @@ def test_simhash_edges_against_all_pairs(spark):
     d = lambda a, b: bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1")
     want = {(a, b, d(a, b)) for a in sims for b in sims if a < b and d(a, b) <= 3}
     assert {tuple(r) for r in D.simhash_edges(df, "key", "text").collect()} == want and len(want) > 20
+
+
+def _search(spark):
+    rnd = random.Random(8)
+    words = "alpha beta gamma delta eps zeta eta theta iota".split()
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, n)))
+    docs = [(i, text(9), rnd.choice([1, 2, None])) for i in range(150)] + [(200 + i, "beta gamma", 2) for i in range(20)] + [(300, None, 1), (301, "none", 1)]
+    asked = [(i, text(6), rnd.choice([1, 2, 3, None])) for i in range(30)] + [(40, None, 1), (41, "unheard", 1)]
+    return [spark.createDataFrame(x, "key bigint, text string, label bigint") for x in (asked, docs)]
+
+
+def _joined(asked, docs, variant, k1=1.5):
+    posts = lambda df: R.postings(df, "key", F.coalesce("text", F.lit("")))
+    return R.bm25(posts(asked), posts(docs), variant, k1)
+
+
+def _equal(got, wanted):
+    plain = lambda df: sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert plain(got) == plain(wanted.select(got.columns))
+
+
+def test_bm25_in_parts_equals_the_join(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_ASKED", 20)
+    asked, docs = _search(spark)
+    for variant in ("okapi", "plus", "smoke"):
+        _equal(R.top_k(R.bm25_scores(asked, docs, variant, keep=7), 7), R.top_k(_joined(asked, docs, variant), 7))
+    assert R.bm25_scores(asked.limit(0), docs).count() == R.bm25_scores(asked, docs.limit(0)).count() == 0
