@@ -547,3 +547,17 @@ def test_bm25_in_parts_equals_the_join(spark, monkeypatch):
     for variant in ("okapi", "plus", "smoke"):
         _equal(R.top_k(R.bm25_scores(asked, docs, variant, keep=7), 7), R.top_k(_joined(asked, docs, variant), 7))
     assert R.bm25_scores(asked.limit(0), docs).count() == R.bm25_scores(asked, docs.limit(0)).count() == 0
+
+
+def test_lexical_and_dense_mixture_without_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "MOST_ASKED", 30)
+    asked, docs = _search(spark)
+    unit = lambda key: (x := np.random.default_rng(key % 9).normal(size=4)) / np.linalg.norm(x)
+    give = lambda df: spark.createDataFrame([(*r, unit(r["key"]).tolist()) for r in df.drop("label").collect()], "key bigint, text string, vectors array<double>")
+    got = R.top_k(R.Bm25(give(asked), give(docs), [("okapi", 1.5)]).with_vectors(5), 5)
+    scores = _joined(asked, docs, "okapi").toPandas()
+    best = scores.groupby("q")["score"].max()
+    scores["score"] = [round(0.7 * (round(float(unit(q) @ unit(d)), 6) + 1) / 2 + 0.3 * (s / best[q] if best[q] > 0 else s), 6) for q, d, s in scores[["q", "d", "score"]].itertuples(index=False)]
+    _equal(got, R.top_k(spark.createDataFrame(scores), 5))
