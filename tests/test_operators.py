@@ -561,3 +561,10 @@ def test_lexical_and_dense_mixture_without_pairs(spark, monkeypatch):
     best = scores.groupby("q")["score"].max()
     scores["score"] = [round(0.7 * (round(float(unit(q) @ unit(d)), 6) + 1) / 2 + 0.3 * (s / best[q] if best[q] > 0 else s), 6) for q, d, s in scores[["q", "d", "score"]].itertuples(index=False)]
     _equal(got, R.top_k(spark.createDataFrame(scores), 5))
+
+
+def test_fused_scores_without_pairs_equal_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_ASKED", 30)
+    asked, docs = _search(spark)
+    got = R.Bm25(asked, docs, [("okapi", 1.5), ("smoke", 1.2)]).fused(5)
+    _equal(R.top_k(got, 5), R.top_k(R.fuse(_joined(asked, docs, "okapi"), _joined(asked, docs, "smoke", 1.2)), 5))
