@@ -568,3 +568,11 @@ def test_fused_scores_without_pairs_equal_those_of_all_pairs(spark, monkeypatch)
     asked, docs = _search(spark)
     got = R.Bm25(asked, docs, [("okapi", 1.5), ("smoke", 1.2)]).fused(5)
     _equal(R.top_k(got, 5), R.top_k(R.fuse(_joined(asked, docs, "okapi"), _joined(asked, docs, "smoke", 1.2)), 5))
+
+
+def test_ranks_without_pairs_equal_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_ASKED", 30)
+    asked, docs = _search(spark)
+    gold = asked.select(F.col("key").alias("q"), "label").join(docs.select(F.col("key").alias("d"), "label"), "label").select("q", "d")
+    for variant in ("okapi", "plus", "smoke"):
+        _equal(R.Bm25(asked, docs, [(variant, 1.5)]).ranks(), R.gold_ranks(_joined(asked, docs, variant), gold))
