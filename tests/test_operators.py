@@ -576,3 +576,12 @@ def test_ranks_without_pairs_equal_those_of_all_pairs(spark, monkeypatch):
     gold = asked.select(F.col("key").alias("q"), "label").join(docs.select(F.col("key").alias("d"), "label"), "label").select("q", "d")
     for variant in ("okapi", "plus", "smoke"):
         _equal(R.Bm25(asked, docs, [(variant, 1.5)]).ranks(), R.gold_ranks(_joined(asked, docs, variant), gold))
+
+
+def test_high_ties_take_the_last_keys_of_one_text(spark):
+    from pyspark.sql import Window as W
+
+    asked, docs = _search(spark)
+    w = W.partitionBy("q").orderBy(F.desc("score"), F.desc("d"))
+    best = lambda scores: scores.withColumn("place", F.row_number().over(w)).filter("place <= 7")
+    _equal(best(R.bm25_scores(asked, docs, "plus", keep=7, high=True)), best(_joined(asked, docs, "plus")))
