@@ -585,3 +585,16 @@ def test_high_ties_take_the_last_keys_of_one_text(spark):
     w = W.partitionBy("q").orderBy(F.desc("score"), F.desc("d"))
     best = lambda scores: scores.withColumn("place", F.row_number().over(w)).filter("place <= 7")
     _equal(best(R.bm25_scores(asked, docs, "plus", keep=7, high=True)), best(_joined(asked, docs, "plus")))
+
+
+def test_bootstraps_draw_where_they_are_used(spark):
+    from ctilake.operators import metrics as M
+
+    rows = spark.createDataFrame([(i, ["a", "b", None][i % 3], "ab"[i % 2], i * i) for i in range(40)], "k int, y string, p string, v bigint")
+    draw = lambda name, rep: [int(hashlib.md5(f"{name}|{rep}|{i}".encode()).hexdigest()[:8], 16) % 40 for i in range(1, 41)]
+    means = sorted(sum(i * i for i in draw("g", rep)) / 40 for rep in range(41))
+    got = M.bootstrap_mean(rows.withColumn("g", F.lit("g")), "g", "k", "v", 41)
+    assert tuple(got.first()) == ("g", sum(i * i for i in range(40)) / 40, round(means[1], 4), round(means[39], 4))
+    below = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[-1].split("\n", 1)[-1]
+    assert "rep#" not in below, "replicates are multiplied out before they are reduced"
+    assert M.bootstrap_macro_f1(rows, "k", "y", "p", 41).first()["n"] == 40
