@@ -598,3 +598,20 @@ def test_bootstraps_draw_where_they_are_used(spark):
     below = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[-1].split("\n", 1)[-1]
     assert "rep#" not in below, "replicates are multiplied out before they are reduced"
     assert M.bootstrap_macro_f1(rows, "k", "y", "p", 41).first()["n"] == 40
+
+
+def test_cosine_in_parts_and_with_equal_texts(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(R, "MOST_ASKED", 20)
+    asked, docs = _search(spark)
+    rows, qs = ({r["key"]: Counter((r["text"] or "").split()) for r in df.collect()} for df in (docs, asked))
+    rows = {k: c for k, c in rows.items() if c}
+    df = Counter(w for c in rows.values() for w in c)
+    for idf in (True, False):
+        of = lambda c: {w: n * ((math.log((1 + len(rows)) / (1 + df[w])) + 1) if idf else 1) for w, n in c.items()}
+        cos = lambda a, b: sum(a[w] * b[w] for w in a if w in b) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        wanted = [(q, d, round(s, 6)) for q, c in qs.items() if c for d, e in rows.items() if (s := cos(of(c), of(e))) > 5e-7]
+        got = R.cosine_scores(asked, docs, lambda t: F.regexp_extract_all(t, F.lit("([a-z]+)"), F.lit(1)), idf, keep=7)
+        _equal(R.top_k(got, 7), R.top_k(spark.createDataFrame(wanted, "q bigint, d bigint, score double"), 7))
