@@ -443,3 +443,20 @@ def test_held_out_accuracy():
     model = languages.fit(rows[:2000])
     held = [languages.languages_of(x) for x in languages.classify(model, [t for t, _ in rows[2000:]])]
     assert sum(l in h for h, (_, l) in zip(held, rows[2000:])) / len(held) > 0.93  # labels are wrong in some rows
+
+
+def test_residue_rests_on_no_order_of_shingles(spark, monkeypatch):
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = []
+    for i in range(12):
+        lines = [f"#{j} {name()}.php({j}): {name()}" for j in range(28)]
+        other = lines[:14] + [f"{name()} stands here instead"] + lines[15:]
+        rows += [(3 * i, "404 Not Found " + " ".join(lines)), (3 * i + 1, "404 Not Found " + " ".join(other)), (3 * i + 2, " ".join(name() for _ in range(60)))]
+    df, real = frame(spark, rows), residue.common_cells
+    run = lambda: [sorted(r["key"] for r in t.collect()) for t in residue.stages(df, "id", "text")]
+    first = run()
+    assert set(first[2]) == spread_by_brute_force(rows) and len(first[2]) > len(first[1])
+    for order in (lambda rows: -real(rows), lambda rows: np.random.default_rng(3).integers(0, 99, 1 << residue.SKETCH_BITS)):
+        monkeypatch.setattr(residue, "common_cells", order)
+        assert run() == first
