@@ -615,3 +615,23 @@ def test_cosine_in_parts_and_with_equal_texts(spark, monkeypatch):
         wanted = [(q, d, round(s, 6)) for q, c in qs.items() if c for d, e in rows.items() if (s := cos(of(c), of(e))) > 5e-7]
         got = R.cosine_scores(asked, docs, lambda t: F.regexp_extract_all(t, F.lit("([a-z]+)"), F.lit(1)), idf, keep=7)
         _equal(R.top_k(got, 7), R.top_k(spark.createDataFrame(wanted, "q bigint, d bigint, score double"), 7))
+
+
+def test_parts_bound_what_tasks_keep(spark, monkeypatch):
+    asked, docs = _search(spark)
+    one = R._parts(R.postings(asked, "key", F.col("text")), 7)
+    monkeypatch.setattr(R, "MOST_KEPT", 50)
+    assert len(one) == 1 < len(R._parts(R.postings(asked, "key", F.col("text")), 7))
+    for variant in ("okapi", "smoke"):
+        _equal(R.top_k(R.bm25_scores(asked, docs, variant, keep=7), 7), R.top_k(_joined(asked, docs, variant), 7))
+    _equal(R.top_k(R.Bm25(asked, docs, [("okapi", 1.5), ("smoke", 1.2)]).fused(7), 7), R.top_k(R.fuse(_joined(asked, docs, "okapi"), _joined(asked, docs, "smoke", 1.2)), 7))
+
+
+def test_ranks_by_scorer_equal_those_of_each(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_ASKED", 30)
+    asked, docs = _search(spark)
+    gold = asked.select(F.col("key").alias("q"), "label").join(docs.select(F.col("key").alias("d"), "label"), "label").select("q", "d")
+    scorers = [("okapi", 1.5), ("plus", 1.5), ("smoke", 1.2)]
+    got = R.Bm25(asked, docs, scorers).ranks_by_scorer()
+    for i, (variant, k1) in enumerate(scorers):
+        _equal(got.filter(F.col("s") == i).drop("s"), R.gold_ranks(_joined(asked, docs, variant, k1), gold))
