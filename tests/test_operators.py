@@ -635,3 +635,20 @@ def test_ranks_by_scorer_equal_those_of_each(spark, monkeypatch):
     got = R.Bm25(asked, docs, scorers).ranks_by_scorer()
     for i, (variant, k1) in enumerate(scorers):
         _equal(got.filter(F.col("s") == i).drop("s"), R.gold_ranks(_joined(asked, docs, variant, k1), gold))
+
+
+def test_only_similar_texts_leave_the_band_tasks(spark, monkeypatch):
+    monkeypatch.setattr(D, "PAIRS", 5)
+    rnd = random.Random(3)
+    base = "the file NAME is written to the folder without any question when it starts 😀😁"
+    rows = [(i, base.replace("NAME", "".join(rnd.choices("abcdefghij", k=rnd.choice([8, 30]))))) for i in range(60)] + [(100, rows_ := base.upper()), (101, rows_), (102, "ab"), (103, None), (104, "abc")]
+    grams = {k: {t.lower()[i : i + 3] for i in range(len(t) - 2)} for k, t in rows if t and len(t) > 2}
+    like = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    want = {(a, b) for a in grams for b in grams if a < b and like(a, b) >= 0.7}
+    assert len(want) < len(grams) * (len(grams) - 1) / 4
+    df = spark.createDataFrame(rows, "key bigint, text string")
+    one = df.filter("length(text) >= 3").select("key", F.lower("text").alias("t")).mapInArrow(D._minhash(1, 1), "key bigint, t string, n int, hs array<bigint>")
+    got = one.select(F.lit(1).cast("bigint").alias("h"), "key", "n", "t").coalesce(1).mapInArrow(D._similar(0.7), "a bigint, b bigint").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    before = spark.conf.get(D.CLEANUP, None)
+    assert {tuple(r) for r in D.minhash_edges(df, "key", "text").collect()} <= want and spark.conf.get(D.CLEANUP, None) == before
