@@ -627,6 +627,32 @@ def test_parts_bound_what_tasks_keep(spark, monkeypatch):
     _equal(R.top_k(R.Bm25(asked, docs, [("okapi", 1.5), ("smoke", 1.2)]).fused(7), 7), R.top_k(R.fuse(_joined(asked, docs, "okapi"), _joined(asked, docs, "smoke", 1.2)), 7))
 
 
+def test_parts_of_queries_are_given_back_one_by_one(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    held, most, made, given = set(), [], type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def make(sc, value):
+        shared = made(sc, value)
+        held.add(id(shared))
+        most.append(len(held))
+        return shared
+
+    def give(shared, blocking=False):
+        held.discard(id(shared))
+        given(shared, blocking)
+
+    monkeypatch.setattr(R, "MOST_ASKED", 20)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", make)
+    monkeypatch.setattr(Broadcast, "destroy", give)
+    asked, docs = _search(spark)
+    search = R.Bm25(asked, docs, [("okapi", 1.5), ("smoke", 1.2)])
+    for scores in (lambda: R.cosine_scores(asked, docs, lambda t: F.split(t, " ")), lambda: search.fused(5), lambda: search.best(5), search.ranks_by_scorer):
+        scores().collect()
+        assert len(most) > 2 and max(most) == 1 and not held
+        most.clear()
+
+
 def test_ranks_by_scorer_equal_those_of_each(spark, monkeypatch):
     monkeypatch.setattr(R, "MOST_ASKED", 30)
     asked, docs = _search(spark)
