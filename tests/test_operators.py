@@ -653,6 +653,31 @@ def test_parts_of_queries_are_given_back_one_by_one(spark, monkeypatch):
         most.clear()
 
 
+def test_scores_come_in_pieces_that_a_cache_holds(monkeypatch):
+    import numpy as np
+
+    from ctilake.operators import scoring as S
+
+    monkeypatch.setattr(S, "CELLS", 12)
+    rng = np.random.default_rng(3)
+    shared = rng.random((40, 6)) < 0.4
+    asked = rng.random((4, 6)) < 0.5
+    for low in (0.5, -0.5):  # weights above zero, and some below
+        weight, q = rng.random((40, 6)) + low, np.nonzero(asked)
+        side = S.Side(np.arange(4), q[1], q[0], [np.ones(len(q[0])), np.full(len(q[0]), 2.0)], shared.sum(0).astype(float), 40, 0 if low > 0 else None)
+        d, tok = np.nonzero(shared)
+        eat, sizes = S.Ends(), []
+        eat.begin(side)
+        for lo, scores in side.blocks(d, tok, [weight[d, tok]] * 2, 40, eat):
+            sizes.append(scores[0].size)
+            eat.take(scores, None)
+        full = np.where((shared.astype(int) @ asked.T) > 0, np.round((shared * weight) @ asked.T, 6), np.nan)
+        got = eat.end()
+        assert max(sizes) <= 12 and sum(sizes) == full.size and eat.raw == (low > 0)
+        for i, x in enumerate((np.nanmin(full, 0), np.nanmax(full, 0))):
+            assert np.allclose(got[1 + i], x) and np.allclose(got[3 + i], 2 * x, atol=2e-6)
+
+
 def test_ranks_by_scorer_equal_those_of_each(spark, monkeypatch):
     monkeypatch.setattr(R, "MOST_ASKED", 30)
     asked, docs = _search(spark)
