@@ -31,7 +31,7 @@ def _rows(df):
     return sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).collect())
 
 
-@pytest.mark.parametrize("variant", ["okapi", "plus"])
+@pytest.mark.parametrize("variant", ["okapi", "plus", "smoke"])
 def test_every_item_is_asked_for_its_best_ten(spark, small, variant):
     got = retrieval.QUERIES[f"bm25_{variant}_topk"](spark, small)
     assert {r["q"] for r in got.select("q").distinct().collect()} == set(range(1, 46))
