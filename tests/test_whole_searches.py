@@ -1,10 +1,11 @@
 """Searches that ask with every item: the tables here hold no item whose id is divisible by 20, or one of many."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ctilake.operators import retrieval as R
-from ctilake.plans import retrieval
+from ctilake.plans import evaluation, retrieval
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota".split()
 K1 = {"okapi": 1.5, "plus": 1.5, "smoke": 1.2}
@@ -19,6 +20,8 @@ def small(spark, tmp_path_factory):
     pairs = [(k, text(k * 7, 2 + k % 7), f"CVE-{2020 + k % 4}-{k}") for k in range(60)] + [(70, None, None)]
     spark.createDataFrame(items, "item_id bigint, text string, cve_id string, source string").write.parquet(f"{at}/task1_cve_linkage.parquet")
     spark.createDataFrame(pairs, "pair_id bigint, vulnerability_text string, cve_id string").write.parquet(f"{at}/ev_pairs.parquet")
+    vectors = [(k, np.random.default_rng(k).normal(size=4).tolist()) for k in range(11)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
@@ -37,3 +40,19 @@ def test_every_item_is_asked_for_its_best_ten(spark, small, variant):
     assert {r["q"] for r in got.select("q").distinct().collect()} == set(range(1, 46))
     assert _rows(got) == _rows(R.top_k(_joined(spark, small, variant), 10))
     assert "% 20" not in retrieval.SQL[f"bm25_{variant}_topk"]
+
+
+def test_every_item_is_asked_for_its_best_mixtures(spark, small):
+    unit = [(x := np.random.default_rng(k).normal(size=4)) / np.linalg.norm(x) for k in range(11)]
+    scores = _joined(spark, small, "okapi").toPandas()
+    best = scores.groupby("q")["score"].max()
+    scores["score"] = [round(0.7 * (round(float(unit[q % 11] @ unit[d % 11]), 6) + 1) / 2 + 0.3 * (s / best[q] if best[q] > 0 else s), 6) for q, d, s in scores[["q", "d", "score"]].itertuples(index=False)]
+    got = evaluation.hybrid_full(spark, small)
+    assert {r["q"] for r in got.select("q").distinct().collect()} == set(range(1, 46))
+    assert _rows(got) == _rows(R.top_k(spark.createDataFrame(scores), 10))
+    assert "% 20" not in evaluation.SQL["hybrid_full"]
+
+
+def test_mixtures_round_halves_away_from_zero():
+    halves = np.array([0.5, 1.5, 2.5, -0.5, -2.5, 0.4, -0.6]) / 1e6
+    assert (R._half_up(halves) * 1e6).round(6).tolist() == [1, 2, 3, -1, -3, 0, -1]
