@@ -56,3 +56,13 @@ def test_every_item_is_asked_for_its_best_mixtures(spark, small):
 def test_mixtures_round_halves_away_from_zero():
     halves = np.array([0.5, 1.5, 2.5, -0.5, -2.5, 0.4, -0.6]) / 1e6
     assert (R._half_up(halves) * 1e6).round(6).tolist() == [1, 2, 3, -1, -3, 0, -1]
+
+
+def test_every_item_enters_the_paired_mean(spark, small):
+    year = lambda t, key, name: spark.read.parquet(f"{small}/{t}.parquet").select(F.col(key).alias(name), F.substring("cve_id", 5, 4).alias("y"))
+    gold = year("task1_cve_linkage", "item_id", "q").join(year("ev_pairs", "pair_id", "d"), "y").select("q", "d")
+    rr = {v: {r["q"]: 1_000_000 // r["rank"] if r["rank"] <= 10 else 0 for r in R.gold_ranks(_joined(spark, small, v), gold).collect()} for v in ("plus", "okapi")}
+    wanted = sum(rr["plus"].get(q, 0) - rr["okapi"].get(q, 0) for q in [*range(1, 46), 50, 51]) / 47
+    got = evaluation.paired_bootstrap(spark, small).first()
+    assert got["mean"] == round(wanted, 4) != 0 and got["low"] <= got["mean"] <= got["high"]
+    assert "% 20" not in evaluation.SQL["paired_bootstrap"] and "% 20" in evaluation.SQL["aligned_runs"]
