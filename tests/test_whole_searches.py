@@ -1,9 +1,12 @@
 """Searches that ask with every item: the tables here hold no item whose id is divisible by 20, or one of many."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ctilake.operators import metrics as M
 from ctilake.operators import retrieval as R
 from ctilake.plans import evaluation, retrieval
 
@@ -66,3 +69,10 @@ def test_every_item_enters_the_paired_mean(spark, small):
     got = evaluation.paired_bootstrap(spark, small).first()
     assert got["mean"] == round(wanted, 4) != 0 and got["low"] <= got["mean"] <= got["high"]
     assert "% 20" not in evaluation.SQL["paired_bootstrap"] and "% 20" in evaluation.SQL["aligned_runs"]
+
+
+def test_draws_hashed_together_are_those_of_md5():
+    for prefix, n in (("plus - okapi", 10_050), ("é|y", 9), ("x" * 47, 120), ("x" * 60, 12), ("a", 1)):
+        for rep in (0, 9_999, -1):
+            wanted = [int(hashlib.md5(f"{prefix}|{rep}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(1, n + 1)]
+            assert M._draws(prefix, n, rep, M._places(n)).tolist() == wanted
